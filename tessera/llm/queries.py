@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, substrings, token_files, vectors
+from . import packing, pieces, shingles, substrings, token_files, vectors
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
+    "op2_ngram_join": shingles.op2_ngram_join,
     "op3_packing": packing.op3_packing,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_vector_dedup": vectors.op5_vector_dedup,
