@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, shingles, substrings, token_files, vectors
+from . import licenses, packing, pieces, shingles, substrings, token_files, vectors
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -12,7 +12,8 @@ QUERIES = {
     "op5_vector_dedup": vectors.op5_vector_dedup,
     "op7_token_files": token_files.op7_token_files,
     "op9_nearest": vectors.op9_nearest,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 #: No SQL for: op1 (suffix order), op2 (MinHash), op3 to op5, op7 to op9 (tokenizers, models, vectors); tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_license_scan": licenses.ORACLE}
