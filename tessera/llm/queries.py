@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, pieces, shingles, substrings, token_files, vectors
+from . import licenses, packing, pieces, quality, shingles, substrings, token_files, vectors
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_vector_dedup": vectors.op5_vector_dedup,
     "op7_token_files": token_files.op7_token_files,
+    "op8_quality": quality.op8_quality,
     "op9_nearest": vectors.op9_nearest,
     "op10_license_scan": licenses.op10_license_scan,
 }
