@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, pieces, quality, shingles, substrings, token_files, vectors
+from . import licenses, packing, pieces, privacy, quality, shingles, substrings, token_files, vectors
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_vector_dedup": vectors.op5_vector_dedup,
+    "op6_personal_data": privacy.op6_personal_data,
     "op7_token_files": token_files.op7_token_files,
     "op8_quality": quality.op8_quality,
     "op9_nearest": vectors.op9_nearest,
