@@ -35,11 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
+    """Write a table to the shared folder and read it back: lineage ends there and lost executors lose nothing.
+
+    The shuffle files of the job that wrote it are given back at its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,8 +77,3 @@ BROADCAST_IDS = 500_000
 def with_size_checked(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """Hint a broadcast of a materialised table of narrow rows only when its counted size is within the limit."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def arrow_batches(df: DataFrame, rows: int) -> None:
-    """Bound the Arrow batches that Python gets; texts can be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

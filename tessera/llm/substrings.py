@@ -29,8 +29,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import materialize, ragged, table, text_column
+from .common import materialize, ragged, ship, table, text_column
 
 WINDOW, ANCHOR = 50, 16
 #: Text of one block; documents longer than that make larger blocks.
@@ -135,6 +136,7 @@ class _Block:
 
     def __init__(self, docs: pd.DataFrame, firsts: dict[str, int]):
         docs = docs.assign(key=docs["doc_id"].fillna(_NULL_ID).astype(np.int64)).sort_values(["key", "text"], kind="stable")
+        self.docs = docs
         self.ids = docs["key"].to_numpy(np.int64)
         self.null = docs["doc_id"].isna().to_numpy()
         self.texts = [x.encode() for x in docs["text"]]
@@ -160,8 +162,8 @@ def _table(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "kind", "bucket", "a", "b"]).astype({"block": np.int32, "kind": np.int32, "bucket": np.int32})
 
 
-def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """block, doc_id, text, and the spans of bytes to remove (starts and ends as little-endian 64-bit integers).
+def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the spans of bytes to remove (starts and ends as little-endian 64-bit integers), and the columns to carry.
 
     Null texts are empty. Rows of one doc_id remove nothing from each other;
     a null doc_id counts as larger than all others.
@@ -170,7 +172,9 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     size = plain.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
     blocks = max(LEAST_BLOCKS, ceil(size / BLOCK_BYTES))
-    dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    dealt = plain.withColumn("block", block)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), *carry).withColumn("block", block)
 
     # the first document of each text that occurs again, told to the blocks that hold it
     held = dealt.groupBy(F.md5(F.col("text").cast("binary")).alias("digest"), "block").agg(F.min(F.coalesce("doc_id", F.lit(_NULL_ID))).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -347,7 +351,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
 
     def cut(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return pd.DataFrame({"doc_id": pd.array([], "Int64"), "text": [], "starts": [], "ends": []})
+            return pd.DataFrame({x: [] for x in names})
         block = _Block(docs, _firsts(side))
         told = [np.frombuffer(x, "<i8").reshape(3, -1) for x in side.loc[side["kind"] == 4, "a"]]
         row, a, z = np.concatenate(told, axis=1) if told else np.zeros((3, 0), np.int64)
@@ -361,7 +365,10 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
             ends.append(y.astype("<i8").tobytes())
         ids = pd.array(block.ids, "Int64")
         ids[block.null] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "text": [x.decode() for x in block.texts], "starts": starts, "ends": ends})
+        return block.docs[list(carry)].assign(doc_id=ids, text=[x.decode() for x in block.texts], starts=starts, ends=ends)[names]
+
+    names = ["doc_id", "text", "starts", "ends", *carry]
+    schema = StructType([StructField(x, LongType() if x == "doc_id" else StringType() if x == "text" else BinaryType()) for x in names[:4]] + [docs.schema[x] for x in carry])
 
     texts = dealt.groupBy("block")
     keys = texts.cogroup(copies.groupBy("block")).applyInPandas(send_keys, SIDE)
@@ -369,7 +376,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
     shared = materialize(shared, "shared-keys")
     runs = texts.cogroup(shared.unionByName(copies).groupBy("block")).applyInPandas(send_runs, SIDE)
     answers = materialize(runs.groupBy("bucket").applyInPandas(answer_runs, SIDE), "repeats")
-    return texts.cogroup(answers.unionByName(copies).groupBy("block")).applyInPandas(cut, "doc_id long, text string, starts binary, ends binary")
+    return whole.groupBy("block").cogroup(answers.unionByName(copies).groupBy("block")).applyInPandas(cut, schema)
 
 
 def hash_of(x: bytes) -> int:
@@ -385,6 +392,19 @@ def union(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
 
 
+def kept_text(text: str, starts: bytes, ends: bytes) -> str:
+    """The text without the whole characters of these spans."""
+    raw = text.encode()
+    follows = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    a, z = (np.frombuffer(x, "<i8").copy() for x in (starts, ends))
+    for i in range(len(a)):
+        while follows(a[i]):
+            a[i] += 1
+        while follows(z[i]):
+            z[i] -= 1
+    return kept_bytes(raw, a.tobytes(), z.tobytes()).decode()
+
+
 def kept_bytes(text: bytes, starts: bytes, ends: bytes) -> bytes:
     at, out = 0, []
     for a, z in zip(np.frombuffer(starts, "<i8").tolist(), np.frombuffer(ends, "<i8").tolist()):
@@ -393,6 +413,26 @@ def kept_bytes(text: bytes, starts: bytes, ends: bytes) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """docs with repeated substrings cut from text, and n_chars, if there is such a column, set to what is left.
+
+    Spans are narrowed to whole characters. Documents of which nothing but
+    white space is left, though they had more, go.
+    """
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([kept_text(t, a, z) if len(a) else t for t, a, z in zip(text, starts, ends)], dtype=object)
+
+    ship(docs.sparkSession)
+    found = repeated_substrings(docs, window, anchor, carry).withColumn("kept", kept("text", "starts", "ends"))
+    found = found.where((F.trim("kept") != "") | (F.trim("text") == "")).withColumn("text", F.col("kept"))
+    if "n_chars" in carry:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches):
         for batch in batches:
