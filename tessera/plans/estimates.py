@@ -1,0 +1,61 @@
+"""Statistics by a Spark job, and textbook estimates of operators' costs from them.
+
+Spark plans by itself; the estimates are for reports and for choosing sizes.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from math import prod
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.predicates import Field, Predicate
+
+
+def table_statistics(df: DataFrame) -> DataFrame:
+    """num_recs and the guess of distinct values that goes with it, in one row."""
+    return df.agg(F.count(F.lit(1)).cast("int").alias("num_recs")).withColumn("distinct_est", (1 + F.floor(F.col("num_recs") / 3)).cast("int"))
+
+
+@dataclass(frozen=True)
+class Estimate:
+    """Blocks read, records put out, distinct values of fields."""
+
+    blocks: int
+    records: int
+    distinct: dict[str, int] = field(default_factory=dict)
+
+    @staticmethod
+    def of(df: DataFrame, slot: int, block: int = 400) -> Estimate:
+        n = df.count()
+        return Estimate(-(-n // max(1, block // slot)), n, dict.fromkeys(df.columns, 1 + n // 3))
+
+    def select(self, predicate: Predicate) -> Estimate:
+        factor, distinct = 1, dict(self.distinct)
+        for t in predicate.terms:
+            values = [self.distinct.get(x.name, 1) for x in (t.left, *t.right) if isinstance(x, Field)]
+            if len(t.right) > 1:
+                factor *= max(1, values[0] // len(t.right)) if values else self.records + 1
+            elif values:
+                factor *= max(values)
+            elif t.left != t.right[0]:
+                factor *= self.records + 1
+        for f in distinct:
+            if predicate.constant_of(f) is not None:
+                distinct[f] = 1
+            elif (g := predicate.partner_of(f)) is not None:
+                distinct[f] = min(distinct[f], self.distinct.get(g, distinct[f]))
+        return Estimate(self.blocks, self.records // factor, distinct)
+
+    def product(self, other: Estimate) -> Estimate:
+        return Estimate(self.blocks + self.records * other.blocks, self.records * other.records, other.distinct | self.distinct)
+
+    def merge_join(self, other: Estimate, left: str, right: str) -> Estimate:
+        most = max(self.distinct.get(left, 1), other.distinct.get(right, 1))
+        return Estimate(self.blocks + other.blocks, self.records * other.records // most, other.distinct | self.distinct)
+
+    def group_by(self, fields: list[str]) -> Estimate:
+        groups = min(self.records, prod(self.distinct.get(f, 1) for f in fields))
+        return Estimate(self.blocks, groups, {f: self.distinct.get(f, 1) for f in fields})
