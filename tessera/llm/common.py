@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_column(name: str = "doc_id"):
+    """Ids on their way to pandas, as text: beside nulls it would turn integers into floating point."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def ids_of(column: pd.Series) -> list[int | None]:
+    return [None if x is None else int(x) for x in column]
+
+
 def text_column(name: str = "text"):
     """A null text counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("string")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_column
+from .common import id_column, ids_of, table, text_column
 from .vocabulary import chunk_encoder
 
 CAPACITY = 2048
@@ -118,9 +118,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
         ids: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for key, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            for key, text in zip(ids_of(batch["doc_id"]), batch["text"].tolist()):
                 ids.append(np.frombuffer(encoder.encode(text) + end, "<u4"))
-                doc_ids.append(None if pd.isna(key) else int(key))
+                doc_ids.append(key)
                 held += len(ids[-1])
                 if held >= pack_tokens:
                     out, base = flush(doc_ids, ids, base)
@@ -129,7 +129,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
         if ids:
             yield flush(doc_ids, ids, base)[0]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInPandas(run, SCHEMA)
+    return docs.select(id_column(), text_column().alias("text")).mapInPandas(run, SCHEMA)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

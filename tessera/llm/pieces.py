@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ragged, table, text_column
+from .common import id_column, ids_of, ragged, table, text_column
 from .vocabulary import slices
 
 SPACE = "▁"
@@ -203,7 +203,7 @@ class PieceModel:
         """The text of these ids; the dummy prefix goes, byte pieces that are no UTF-8 become U+FFFD each."""
         ids = ids[(ids != self.bos) & (ids != self.eos)]
         raw = b"".join(map(self.surface.__getitem__, ids.tolist()))
-        if raw[:1] == b" " and len(ids) and not self.is_byte[ids[0]]:
+        if raw[:1] == b" " and len(ids) and ids[0] != self.unk and not self.is_byte[ids[0]]:
             raw = raw[1:]
         try:
             return raw.decode()
@@ -245,17 +245,17 @@ def _encoded(docs: DataFrame, model: str | None, schema: str, made) -> DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = piece_model(path)
         for batch in batches:
-            texts, keys = batch["text"].tolist(), batch["doc_id"]
+            texts, keys = batch["text"].tolist(), ids_of(batch["doc_id"])
             for a, b in slices(texts):
                 rows = []
                 for raw in pieces.encode(texts[a:b]):
                     ids = np.concatenate([[pieces.bos], np.frombuffer(raw, "<u4"), [pieces.eos]])
                     rows.append(made(ids, pieces.decode(ids)))
                 out = pd.DataFrame(rows, columns=names[1:])
-                out.insert(0, "doc_id", keys.iloc[a:b].astype("Int64").to_numpy(object))
+                out.insert(0, "doc_id", pd.array(keys[a:b], dtype="Int64"))
                 yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInPandas(run, schema)
+    return docs.select(id_column(), text_column().alias("text")).mapInPandas(run, schema)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

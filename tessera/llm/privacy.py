@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, table, text_column, with_size_checked
+from .common import id_column, ids_of, materialize, ship, table, text_column, with_size_checked
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, LEAST_CONTEXTS, GENERALISE, REMOVE = 5, 3, 0.8, 0.97
@@ -113,7 +113,7 @@ def _find(docs: DataFrame, window: int) -> DataFrame:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            for doc, text in zip(ids_of(batch["doc_id"]), batch["text"].tolist()):
                 spans = base_spans(text)
                 count = Counter(k for k, _, _ in spans)
                 near, seen = [], set()
@@ -121,13 +121,13 @@ def _find(docs: DataFrame, window: int) -> DataFrame:
                     near.append({"entity": name, "term": term, "start": a, "stop": b, "wording": wording, "first": int((name, term) not in seen)})
                     seen.add((name, term))
                 rows.append((
-                    row, None if pd.isna(doc) else int(doc), hashlib.md5(text.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in spans),
+                    row, doc, hashlib.md5(text.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in spans),
                     *(count[k] for k in KINDS[:4]), sorted({entity(k, text[a:b]) for k, a, b in spans}), near,
                 ))
                 row += 1
-            yield pd.DataFrame(rows, columns=["row", "doc_id", "digest", "base", "n_email", "n_ip", "n_card", "n_phone", "entities", "near"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "digest", "base", "n_email", "n_ip", "n_card", "n_phone", "entities", "near"]).assign(doc_id=pd.array([r[1] for r in rows], dtype="Int64"))
 
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInPandas(run, FOUND), "personal")
+    return materialize(docs.select(id_column(), text_column().alias("text")).mapInPandas(run, FOUND), "personal")
 
 
 def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -199,17 +199,17 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     ship(spark)
     spans = personal_data(docs, **options)
     every = F.concat_ws(",", *[F.when(F.col(c) != "", F.col(c)) for c in ("base", "terms")])
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), every.alias("_spans")).where("_spans != ''").dropDuplicates(["_id", "_digest"])
+    spans = spans.select(F.col("doc_id").alias("tessera_id"), F.col("digest").alias("tessera_digest"), every.alias("tessera_spans")).where("tessera_spans != ''").dropDuplicates(["tessera_id", "tessera_digest"])
     spans = with_size_checked(materialize(spans, "spans"), 50_000)
 
     @F.pandas_udf("string")
     def rewrite(text: pd.Series, at: pd.Series) -> pd.Series:
         return pd.Series([replaced(t, s) if s else t for t, s in zip(text, at)], dtype=object)
 
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.md5(text_column().cast("binary")) == F.col("_digest"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("tessera_id")) & (F.md5(text_column().cast("binary")) == F.col("tessera_digest"))
     out = docs.join(spans, same, "left")
     # rows without spans pass Python by
-    return out.select(*[(F.when(F.col("_spans").isNull(), F.col(c)).otherwise(rewrite(text_column(), F.col("_spans"))).alias(c) if c == "text" else F.col(c)) for c in docs.columns])
+    return out.select(*[(F.when(F.col("tessera_spans").isNull(), F.col(c)).otherwise(rewrite(text_column(), F.col("tessera_spans"))).alias(c) if c == "text" else F.col(c)) for c in docs.columns])
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

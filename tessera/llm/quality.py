@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, table, text_column
+from .common import id_column, ids_of, materialize, ship, table, text_column
 
 #: Greatest numbers of documents that the models are fitted on, and of words, sources and languages that they know.
 LABELLED, UNLABELLED, VOCABULARY, CATEGORIES = 6000, 3000, 1024, 64
@@ -210,9 +210,9 @@ def score_quality(docs: DataFrame, scorer: Scorer) -> DataFrame:
             for a in range(0, len(batch), 500):
                 rows = batch.iloc[a : a + 500]
                 both, text, meta = s.combine(s.text_matrix(*_features(rows["text"].tolist(), s.vocabulary)), s.meta_matrix(rows))
-                yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "score": both, "text_score": text, "metadata_score": meta})
+                yield pd.DataFrame({"doc_id": pd.array(ids_of(rows["doc_id"]), dtype="Int64"), "score": both, "text_score": text, "metadata_score": meta})
 
-    return _with_columns(docs).mapInPandas(run, "doc_id long, score double, text_score double, metadata_score double")
+    return _with_columns(docs).withColumn("doc_id", id_column()).mapInPandas(run, "doc_id long, score double, text_score double, metadata_score double")
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

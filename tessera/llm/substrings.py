@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import materialize, ragged, ship, table, text_column
+from .common import id_column, ids_of, materialize, ragged, ship, table, text_column
 
 WINDOW, ANCHOR = 50, 16
 #: Text of one block; documents longer than that make larger blocks.
@@ -135,10 +135,10 @@ class _Block:
     """The documents of one block in a fixed order; copies of earlier documents take no part in the search."""
 
     def __init__(self, docs: pd.DataFrame, firsts: dict[str, int]):
-        docs = docs.assign(key=docs["doc_id"].fillna(_NULL_ID).astype(np.int64)).sort_values(["key", "text"], kind="stable")
+        docs = docs.sort_values(["key", "text"], kind="stable")
         self.docs = docs
         self.ids = docs["key"].to_numpy(np.int64)
-        self.null = docs["doc_id"].isna().to_numpy()
+        self.null = docs["no_id"].to_numpy(bool)
         self.texts = [x.encode() for x in docs["text"]]
         first = [firsts.get(hashlib.md5(x).hexdigest(), _NULL_ID) for x in self.texts] if firsts else [_NULL_ID] * len(self.texts)
         self.copy = np.array(first, np.int64) < self.ids if len(first) else np.zeros(0, bool)
@@ -169,15 +169,19 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
     a null doc_id counts as larger than all others.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
+    # pandas would turn ids beside nulls into floating point
+    doc_id = F.col("doc_id").cast("long")
+    own = [F.coalesce(doc_id, F.lit(_NULL_ID)).alias("key"), doc_id.isNull().alias("no_id"), text_column().alias("text")]
+    plain = docs.select(*own)
     size = plain.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
     blocks = max(LEAST_BLOCKS, ceil(size / BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
     dealt = plain.withColumn("block", block)
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), *carry).withColumn("block", block)
+    inner = [f"carried_{i}" for i in range(len(carry))]  # carried columns may have the names used here
+    whole = docs.select(*own, *[F.col(f"`{x}`").alias(y) for x, y in zip(carry, inner)]).withColumn("block", block)
 
     # the first document of each text that occurs again, told to the blocks that hold it
-    held = dealt.groupBy(F.md5(F.col("text").cast("binary")).alias("digest"), "block").agg(F.min(F.coalesce("doc_id", F.lit(_NULL_ID))).alias("first"), F.count(F.lit(1)).alias("n"))
+    held = dealt.groupBy(F.md5(F.col("text").cast("binary")).alias("digest"), "block").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
     held = held.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("block").alias("blocks")).where("n > 1")
     firsts = materialize(held.select(F.explode("blocks").alias("block"), "digest", "first"), "copies")
 
@@ -363,12 +367,11 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
             x, y = (np.array([0]), np.array([len(text)])) if block.copy[i] and len(text) >= window else union(a[edges[i] : edges[i + 1]], z[edges[i] : edges[i + 1]])
             starts.append(x.astype("<i8").tobytes())
             ends.append(y.astype("<i8").tobytes())
-        ids = pd.array(block.ids, "Int64")
-        ids[block.null] = pd.NA
-        return block.docs[list(carry)].assign(doc_id=ids, text=[x.decode() for x in block.texts], starts=starts, ends=ends)[names]
+        ids = pd.arrays.IntegerArray(block.ids, block.null)
+        return block.docs[inner].assign(doc_id=ids, text=[x.decode() for x in block.texts], starts=starts, ends=ends)[names]
 
-    names = ["doc_id", "text", "starts", "ends", *carry]
-    schema = StructType([StructField(x, LongType() if x == "doc_id" else StringType() if x == "text" else BinaryType()) for x in names[:4]] + [docs.schema[x] for x in carry])
+    names = ["doc_id", "text", "starts", "ends", *inner]
+    schema = StructType([StructField(x, LongType() if x == "doc_id" else StringType() if x == "text" else BinaryType()) for x in names[:4]] + [StructField(y, docs.schema[x].dataType) for x, y in zip(carry, inner)])
 
     texts = dealt.groupBy("block")
     keys = texts.cogroup(copies.groupBy("block")).applyInPandas(send_keys, SIDE)
@@ -376,7 +379,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
     shared = materialize(shared, "shared-keys")
     runs = texts.cogroup(shared.unionByName(copies).groupBy("block")).applyInPandas(send_runs, SIDE)
     answers = materialize(runs.groupBy("bucket").applyInPandas(answer_runs, SIDE), "repeats")
-    return whole.groupBy("block").cogroup(answers.unionByName(copies).groupBy("block")).applyInPandas(cut, schema)
+    return whole.groupBy("block").cogroup(answers.unionByName(copies).groupBy("block")).applyInPandas(cut, schema).toDF("doc_id", "text", "starts", "ends", *carry)
 
 
 def hash_of(x: bytes) -> int:
@@ -419,18 +422,22 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     Spans are narrowed to whole characters. Documents of which nothing but
     white space is left, though they had more, go.
     """
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-
     @F.pandas_udf("string")
     def kept(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([kept_text(t, a, z) if len(a) else t for t, a, z in zip(text, starts, ends)], dtype=object)
 
     ship(docs.sparkSession)
-    found = repeated_substrings(docs, window, anchor, carry).withColumn("kept", kept("text", "starts", "ends"))
-    found = found.where((F.trim("kept") != "") | (F.trim("text") == "")).withColumn("text", F.col("kept"))
-    if "n_chars" in carry:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    renamed = docs.toDF(*[f"other_{others.index(c)}" if c in others else c for c in docs.columns])
+    found = repeated_substrings(renamed, window, anchor, tuple(f"other_{i}" for i in range(len(others)))).withColumn("kept", kept("text", "starts", "ends"))
+    found = found.where((F.trim("kept") != "") | (F.trim("text") == ""))
+    columns = []
+    for c in docs.columns:
+        if c == "n_chars":
+            columns.append(F.length("kept").cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("kept" if c == "text" else c if c == "doc_id" else f"other_{others.index(c)}").alias(c))
+    return found.select(*columns)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,7 +449,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 kept = kept_bytes(raw, a, z)
                 rows.append((len(raw), len(raw) - len(kept), len(a) // 8, hashlib.sha256(kept).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(object))
+            out.insert(0, "doc_id", pd.array(ids_of(batch["doc_id"]), dtype="Int64"))
             yield out
 
-    return repeated_substrings(table(spark, sf_dir, "documents")).mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = repeated_substrings(table(spark, sf_dir, "documents")).withColumn("doc_id", id_column())
+    return found.mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, table, text_column
+from .common import id_column, ids_of, materialize, shared_dir, table, text_column
 from .vocabulary import chunk_encoder
 
 SEQUENCE, PER_BATCH = 2048, 64
@@ -107,6 +107,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
+    names = [x.split()[0] for x in INDEX.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = chunk_encoder(path, True)
         end = int(end_id).to_bytes(4, "little")
@@ -115,15 +117,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         uri, writer = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.arrow", None
         for batch in batches:
             rows = []
-            for key, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            for key, text in zip(ids_of(batch["doc_id"]), batch["text"].tolist()):
                 writer = writer or TokenFileWriter(uri, dtype)
                 ids = np.frombuffer(encoder.encode(text) + end, "<u4")
-                rows.append((None if pd.isna(key) else int(key), uri, shard, writer.append(ids), len(ids)))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in INDEX.split(", ")]).astype({"doc_id": "Int64"})
+                rows.append((key, uri, shard, writer.append(ids), len(ids)))
+            out = pd.DataFrame(rows, columns=names)
+            yield out.assign(doc_id=pd.array([r[0] for r in rows], dtype="Int64"))
         if writer:
             writer.close()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.select(id_column(), "text")
     index = materialize(ordered.mapInPandas(run, INDEX), "token-index")
     # one row per file: its number of ids, then the ids of all files before it
     sizes = sorted((r["shard"], r["n"]) for r in index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
@@ -144,9 +148,9 @@ def read_token_files(index: DataFrame) -> DataFrame:
                 if uri != name:
                     name, file = uri, TokenFile(uri)
                 crc[i] = zlib.crc32(file.span(int(first), int(n)).astype("<u4").tobytes())
-            yield batch[["doc_id", "start", "n_tokens"]].astype({"doc_id": "Int64"}).assign(ids_crc32=crc)
+            yield batch[["start", "n_tokens"]].assign(doc_id=pd.array(ids_of(batch["doc_id"]), dtype="Int64"), ids_crc32=crc)[["doc_id", "start", "n_tokens", "ids_crc32"]]
 
-    return index.select("doc_id", "path", "first", "start", "n_tokens").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return index.select(id_column(), "path", "first", "start", "n_tokens").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,7 +171,7 @@ def adaptive_scan(queries: np.ndarray, base: np.ndarray, best: np.ndarray, colum
     for k in range(0, d, columns):
         q, b = queries[:, k : k + columns], base[:, k : k + columns]
         end = min(k + columns, d)
-        bound = (1 + epsilon / sqrt(end)) ** 2 * end / d
+        bound = (1 + epsilon / sqrt(end)) ** 2 * end / d if end < d else 1 + 1e-9  # the whole distance is no estimate
         if alive is None:
             step = np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2 * (q @ b.T)
             part = step if part is None else part + step
