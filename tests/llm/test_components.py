@@ -27,3 +27,11 @@ def test_same_as_union_find(spark, seed):
 
 def test_empty(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_written_tables_are_released(spark):
+    from tessera.llm import common
+
+    common.release(spark)
+    df = common.materialize(spark.range(5).selectExpr("id as a"), "five")
+    assert df.count() == 5 and common.release(spark) == 1 and common.release(spark) == 0
