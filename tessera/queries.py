@@ -40,7 +40,7 @@ def _t(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 def scratch(spark: SparkSession) -> Database:
     """A new database in the folder that all executors share; in a temporary one only where none is named, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         _SCRATCH.append(tempfile.TemporaryDirectory(prefix="tessera-db-"))
         shared = f"file://{_SCRATCH[-1].name}"

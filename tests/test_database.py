@@ -118,3 +118,26 @@ def test_index_never_changes_results(db):
     tx.create_index("grad_idx", "students", "gradyear")
     tx.commit()
     assert rows(project(select(tx.table("students"), equals(Field("majorid"), 10)), ["sid"])) == [(1,), (3,), (7,)]
+
+
+def test_university(db):
+    from tessera.functions import all_of
+    from tessera.operators import join_all
+    from tessera.sources.samples import create_university
+
+    create_university(db.begin())
+    tx = db.begin()
+    tables = [tx.table(n) for n in ("students", "enrolls", "sections", "courses")]
+    where = all_of(equals(Field("sid"), Field("studentid")), equals(Field("sectionid"), Field("sectid")), equals(Field("courseid"), Field("cid")))
+    got = rows(project(join_all(tables, where), ["sname", "title", "prof", "grade"]))
+    assert got == [("amy", "calculus", "einstein", "B+"), ("joe", "calculus", "einstein", "C"), ("joe", "db systems", "turing", "A"), ("kim", "elocution", "brando", "A"), ("sue", "calculus", "newton", "B"), ("sue", "elocution", "brando", "A")]
+    assert join_all([tx.table(n) for n in ("students", "depts", "courses")]).count() == 162
+    assert rows(tx.query("select grade from enrolls where studentid = 6")) == [("A",)]
+
+
+def test_folders_that_no_manifest_names_are_never_read(db, spark):
+    tx = filled(db)
+    spark.range(5).write.parquet(f"{db.folder}/students/lost")
+    assert db.begin().table("students").count() == 5
+    tx.delete("students")
+    assert db.begin().table("students").count() == 5  # not committed
