@@ -22,14 +22,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         least = lower.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
         least = materialize(least, "least")
-        several = lower.join(least.where("n > 1"), "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        several = lower.join(least.where("n > 1"), "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"), F.lit(True).alias("open"))
         # one link from each node, besides those that its other neighbours got; all move up to the least's least
-        links = least.select("v", F.col("m").alias("u")).unionByName(several)
+        links = least.select("v", F.col("m").alias("u"), (F.col("n") > 1).alias("open")).unionByName(several)
         up = least.select(F.col("v").alias("u"), F.col("m").alias("up"))
-        moved = links.join(up, "u", "left").select("v", F.coalesce("up", "u").alias("u"), F.col("up").isNotNull().alias("moved"))
-        moved = materialize(moved.groupBy("v", "u").agg(F.max("moved").alias("moved")), "links")
-        many = least.where("n > 1").limit(1).count()
-        if not many and not moved.where("moved").limit(1).count():
+        moved = links.join(up, "u", "left").select("v", F.coalesce("up", "u").alias("u"), (F.col("open") | F.col("up").isNotNull()).alias("open"))
+        moved = materialize(moved.groupBy("v", "u").agg(F.max("open").alias("open")), "links")
+        if not moved.where("open").limit(1).count():
             return moved.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
                 moved.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
             )
