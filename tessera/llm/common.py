@@ -45,6 +45,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the job that wrote it are given back at its end.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")

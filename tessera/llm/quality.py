@@ -23,6 +23,8 @@ from .common import id_column, ids_of, materialize, ship, table, text_column
 #: Greatest numbers of documents that the models are fitted on, and of words, sources and languages that they know.
 LABELLED, UNLABELLED, VOCABULARY, CATEGORIES = 6000, 3000, 1024, 64
 ROUNDS, CONFIDENT = 3, 0.98
+#: Longer words count by their first letters as well.
+STEM = 4
 _WORD = re.compile(r"[^\W\d_]+")
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
@@ -43,12 +45,13 @@ def _shape(text: str, words: list[str], known: int) -> list[float]:
 
 
 def _features(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, list[list[int]]]:
-    """Shape of each text, and which words of the vocabulary it has."""
+    """Shape of each text, and which words and beginnings of words (marked by *) of the vocabulary it has."""
     shapes, has = [], []
     known = vocabulary.keys()
     for text in texts:
         words = _WORD.findall(text.lower())
-        mine = sorted(vocabulary[w] for w in set(words) & known)
+        seen = set(words)
+        mine = sorted(map(vocabulary.__getitem__, (seen & known) | ({w[:STEM] + "*" for w in seen if len(w) > STEM} & known)))
         shapes.append(_shape(text, words, len(mine)))
         has.append(mine)
     return np.array(shapes, np.float64), has
@@ -170,7 +173,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, accepted: Column | None = No
     chosen = materialize(chosen.unionByName(first.withColumn("y", F.lit(-1))), "chosen")
     sample = materialize(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "sample")  # at most LABELLED + UNLABELLED rows
 
-    words = sample.where("y >= 0").select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    stems = F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
+    words = sample.where("y >= 0").select("y", F.explode(F.array_distinct(F.concat(words, stems))).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("good"))
     total, good = sample.where("y >= 0").agg(F.count(F.lit(1)), F.sum("y")).collect()[0]
     if total < 20 or good in (0, total):
