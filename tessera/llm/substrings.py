@@ -35,7 +35,7 @@ from .common import id_column, ids_of, materialize, ragged, ship, table, text_co
 
 WINDOW, ANCHOR = 50, 16
 #: Text of one block; documents longer than that make larger blocks.
-BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 48
+BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 48
 #: A key of so many documents is hot.
 HOT_DOCUMENTS = 4096
 #: Windows per run at most: answers are bit masks of 64.
