@@ -36,6 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_held: dict = {}
+
+
+def held_by_worker(key, make):
+    """One object, with what it has cached, for all tasks of a Python worker; asking for another one lets the last go, so that stages don't pile up caches."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

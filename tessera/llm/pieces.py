@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_column, ids_of, ragged, table, text_column
+from .common import held_by_worker, id_column, ids_of, ragged, table, text_column
 from .vocabulary import slices
 
 SPACE = "▁"
@@ -211,10 +210,8 @@ class PieceModel:
             return _lenient(raw)
 
 
-@cache
 def piece_model(path: str) -> PieceModel:
-    """One model, with the words it has met, for all tasks of a Python worker."""
-    return PieceModel(path)
+    return held_by_worker(("pieces", path), lambda: PieceModel(path))
 
 
 def _lenient(raw: bytes) -> str:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 from hashlib import blake2b
 from math import ceil
 
@@ -14,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_column, with_size_checked
+from .common import held_by_worker, materialize, table, text_column, with_size_checked
 from .components import connected_components
 from .vocabulary import slices
 
@@ -38,15 +37,14 @@ def prefix_length(threshold: float, trees: int, longest: int, recall: float) ->
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
-@cache
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return held_by_worker("word hashes", _Hashes)
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:

@@ -29,9 +29,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
-from .common import id_column, ids_of, materialize, ragged, ship, table, text_column
+from .common import materialize, ragged, ship, table, text_column
 
 WINDOW, ANCHOR = 50, 16
 #: Text of one block; documents longer than that make larger blocks.
@@ -162,8 +162,16 @@ def _table(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "kind", "bucket", "a", "b"]).astype({"block": np.int32, "kind": np.int32, "bucket": np.int32})
 
 
-def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, the spans of bytes to remove (starts and ends as little-endian 64-bit integers), and the columns to carry.
+def spans_of(texts: list[bytes], starts: list[np.ndarray], ends: list[np.ndarray]) -> dict[str, list]:
+    """text, and the spans of bytes to remove (starts and ends)."""
+    return {"text": [x.decode() for x in texts], "starts": [x.tolist() for x in starts], "ends": [x.tolist() for x in ends]}
+
+
+SPANS = "text string, starts array<long>, ends array<long>"
+
+
+def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, carry: tuple[str, ...] = (), make=spans_of, schema: str = SPANS) -> DataFrame:
+    """doc_id, what make(texts as bytes, starts, ends) gives for the spans to remove, and the columns to carry.
 
     Null texts are empty. Rows of one doc_id remove nothing from each other;
     a null doc_id counts as larger than all others.
@@ -355,7 +363,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
 
     def cut(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return pd.DataFrame({x: [] for x in names})
+            return pd.DataFrame({x: [] for x in fields.names})
         block = _Block(docs, _firsts(side))
         told = [np.frombuffer(x, "<i8").reshape(3, -1) for x in side.loc[side["kind"] == 4, "a"]]
         row, a, z = np.concatenate(told, axis=1) if told else np.zeros((3, 0), np.int64)
@@ -365,13 +373,13 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
         starts, ends = [], []
         for i, text in enumerate(block.texts):
             x, y = (np.array([0]), np.array([len(text)])) if block.copy[i] and len(text) >= window else union(a[edges[i] : edges[i + 1]], z[edges[i] : edges[i + 1]])
-            starts.append(x.astype("<i8").tobytes())
-            ends.append(y.astype("<i8").tobytes())
-        ids = pd.arrays.IntegerArray(block.ids, block.null)
-        return block.docs[inner].assign(doc_id=ids, text=[x.decode() for x in block.texts], starts=starts, ends=ends)[names]
+            starts.append(x)
+            ends.append(y)
+        out = block.docs[inner].assign(**make(block.texts, starts, ends))
+        return out.assign(doc_id=pd.arrays.IntegerArray(block.ids, block.null))[fields.names]
 
-    names = ["doc_id", "text", "starts", "ends", *inner]
-    schema = StructType([StructField(x, LongType() if x == "doc_id" else StringType() if x == "text" else BinaryType()) for x in names[:4]] + [StructField(y, docs.schema[x].dataType) for x, y in zip(carry, inner)])
+    made = _parse_datatype_string(schema)
+    fields = StructType([StructField("doc_id", LongType()), *made, *[StructField(y, docs.schema[x].dataType) for x, y in zip(carry, inner)]])
 
     texts = dealt.groupBy("block")
     keys = texts.cogroup(copies.groupBy("block")).applyInPandas(send_keys, SIDE)
@@ -379,7 +387,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
     shared = materialize(shared, "shared-keys")
     runs = texts.cogroup(shared.unionByName(copies).groupBy("block")).applyInPandas(send_runs, SIDE)
     answers = materialize(runs.groupBy("bucket").applyInPandas(answer_runs, SIDE), "repeats")
-    return whole.groupBy("block").cogroup(answers.unionByName(copies).groupBy("block")).applyInPandas(cut, schema).toDF("doc_id", "text", "starts", "ends", *carry)
+    return whole.groupBy("block").cogroup(answers.unionByName(copies).groupBy("block")).applyInPandas(cut, fields).toDF("doc_id", *made.names, *carry)
 
 
 def hash_of(x: bytes) -> int:
@@ -395,22 +403,21 @@ def union(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
 
 
-def kept_text(text: str, starts: bytes, ends: bytes) -> str:
+def kept_text(text: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
     """The text without the whole characters of these spans."""
-    raw = text.encode()
-    follows = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
-    a, z = (np.frombuffer(x, "<i8").copy() for x in (starts, ends))
+    follows = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
+    a, z = starts.copy(), ends.copy()
     for i in range(len(a)):
         while follows(a[i]):
             a[i] += 1
         while follows(z[i]):
             z[i] -= 1
-    return kept_bytes(raw, a.tobytes(), z.tobytes()).decode()
+    return kept_bytes(text, a, z).decode()
 
 
-def kept_bytes(text: bytes, starts: bytes, ends: bytes) -> bytes:
+def kept_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     at, out = 0, []
-    for a, z in zip(np.frombuffer(starts, "<i8").tolist(), np.frombuffer(ends, "<i8").tolist()):
+    for a, z in zip(starts.tolist(), ends.tolist()):
         out.append(text[at:a])
         at = z
     return b"".join([*out, text[at:]])
@@ -422,15 +429,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     Spans are narrowed to whole characters. Documents of which nothing but
     white space is left, though they had more, go.
     """
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([kept_text(t, a, z) if len(a) else t for t, a, z in zip(text, starts, ends)], dtype=object)
+    def make(texts: list[bytes], starts: list[np.ndarray], ends: list[np.ndarray]) -> dict[str, list]:
+        kept = [kept_text(t, a, z) if len(a) else t.decode() for t, a, z in zip(texts, starts, ends)]
+        return {"kept": kept, "stays": [bool(k.strip()) or not t.strip() for k, t in zip(kept, texts)]}
 
     ship(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     renamed = docs.toDF(*[f"other_{others.index(c)}" if c in others else c for c in docs.columns])
-    found = repeated_substrings(renamed, window, anchor, tuple(f"other_{i}" for i in range(len(others)))).withColumn("kept", kept("text", "starts", "ends"))
-    found = found.where((F.trim("kept") != "") | (F.trim("text") == ""))
+    found = repeated_substrings(renamed, window, anchor, tuple(f"other_{i}" for i in range(len(others))), make, "kept string, stays boolean").where("stays")
     columns = []
     for c in docs.columns:
         if c == "n_chars":
@@ -441,16 +447,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digest(batches):
-        for batch in batches:
-            rows = []
-            for text, a, z in zip(batch["text"], batch["starts"], batch["ends"]):
-                raw = text.encode()
-                kept = kept_bytes(raw, a, z)
-                rows.append((len(raw), len(raw) - len(kept), len(a) // 8, hashlib.sha256(kept).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", pd.array(ids_of(batch["doc_id"]), dtype="Int64"))
-            yield out
-
-    found = repeated_substrings(table(spark, sf_dir, "documents")).withColumn("doc_id", id_column())
-    return found.mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def digest(texts: list[bytes], starts: list[np.ndarray], ends: list[np.ndarray]) -> dict[str, list]:
+        kept = [kept_bytes(*x) for x in zip(texts, starts, ends)]
+        sizes = list(map(len, texts))
+        return {"n_bytes": sizes, "n_removed": [n - len(k) for n, k in zip(sizes, kept)], "n_spans": list(map(len, starts)), "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
+
+    return repeated_substrings(table(spark, sf_dir, "documents"), make=digest, schema="n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,7 +1,7 @@
 """Chunk-cached encoding with the tokenizers library.
 
-A text is split at single spaces, where the tokenizers here never join
-symbols; a chunk is split by the vocabulary's own pattern into words, and
+A text is split at single spaces and line ends, where the tokenizers here
+never join symbols; a chunk is split by the vocabulary's own pattern into words, and
 each distinct word is encoded by the library's model once. Both caches map
 to little-endian 32-bit ids, so the ids of a text are one bytes.join.
 """
@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import os
 import unicodedata
-from functools import cache
 
 import numpy as np
 import public_tokenizers
 import regex
 
+from .common import held_by_worker
+
 #: Entries kept in each cache of a Python worker before it starts anew.
 MOST_CHUNKS, MOST_WORDS = 600_000, 400_000
 
@@ -50,9 +51,9 @@ class _Words(dict):
 class _Chunks(dict):
     """Chunk -> ids; None where white space at an end may belong to a neighbour."""
 
-    def __init__(self, words: _Words, pattern: str, spaced: bool):
+    def __init__(self, words: _Words, pattern: str, spaced: bool, before: str = " "):
         super().__init__()
-        self.words, self.find, self.spaced = words, regex.compile(pattern).findall, spaced
+        self.before, self.words, self.find, self.spaced = before, words, regex.compile(pattern).findall, spaced
 
     def ids(self, chunk: str) -> bytes:
         if not self.spaced:
@@ -64,7 +65,7 @@ class _Chunks(dict):
         if len(self) >= MOST_CHUNKS:
             self.clear()
         if self.spaced:
-            got = None if not chunk or chunk != chunk.strip() else self.ids(" " + chunk)
+            got = None if not chunk or chunk != chunk.strip() else self.ids(self.before + chunk)
         else:
             got = self.ids(chunk)
         if len(chunk) <= 64:
@@ -88,25 +89,27 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.chunks = _Chunks(_Words(self.tokenizer.model), public_tokenizers.PATTERN if spaced else _LOWER, spaced)
+        words = _Words(self.tokenizer.model)
+        self.chunks = _Chunks(words, public_tokenizers.PATTERN if spaced else _LOWER, spaced)
+        self.firsts = _Chunks(words, public_tokenizers.PATTERN, spaced, "")
+        self.line_end = words["\n"] if spaced else b""
 
     def encode(self, text: str) -> bytes:
         get = self.chunks.__getitem__
         if not self.spaced:
-            return b"".join(map(get, text.split(" ")))
-        first, *rest = text.split(" ")
+            return b"".join(map(get, text.replace("\n", " ").split(" ")))
+        out = []
         try:
-            if first != first.strip():
-                raise TypeError
-            return self.chunks.ids(first) + b"".join(map(get, rest))
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                out.append(b"".join([self.firsts[first], *map(get, rest)]))
         except TypeError:  # a None among the parts
             return self.chunks.ids(text)
+        return self.line_end.join(out)
 
 
-@cache
 def chunk_encoder(path: str, spaced: bool) -> ChunkEncoder:
-    """One encoder, with the chunks it has met, for all tasks of a Python worker."""
-    return ChunkEncoder(path, spaced)
+    return held_by_worker(("chunks", path), lambda: ChunkEncoder(path, spaced))
 
 
 def slices(texts: list[str], most_chars: int = 2_000_000):
