@@ -71,7 +71,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all pattern matches that pass their checks, by kind, then start."""
     out = [("email", a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+        if all(len(x) <= 3 and int(x or "0") <= 255 for x in (x.lstrip("0") for x in m.group().split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")

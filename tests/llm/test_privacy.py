@@ -22,6 +22,7 @@ def test_patterns():
         assert S.base_spans(t) == brute(t)
     assert S.base_spans("4111 1111 1111 1111 a@b.co 10.0.0.255 +1 (555) 123-4567") == [("email", 20, 26), ("ip", 27, 37), ("card", 0, 19), ("phone", 38, 55)]
     assert S.base_spans("9" * 200_000) == []
+    assert S.base_spans("0" * 5000 + ".1.2.3") == [("ip", 0, 5006)]  # more digits than int() takes
 
 
 def corpus():
