@@ -58,19 +58,23 @@ def _features(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray,
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 200) -> np.ndarray:
-    """Weights (the last is the intercept) by accelerated gradient descent; columns should be standardised."""
-    x = np.column_stack([x, np.ones(len(x))])
-    v = np.ones(x.shape[1])
+    """Weights (the last is the intercept) by accelerated gradient descent; columns should be standardised.
+
+    Products are taken in the type of x, so that x is never copied.
+    """
+    along = lambda w: x @ w[:-1].astype(x.dtype) + w[-1]
+    across = lambda r: np.append(x.T @ r.astype(x.dtype), r.sum()).astype(np.float64)
+    v = np.ones(x.shape[1] + 1)
     for _ in range(8):  # the greatest curvature, by power iteration
-        v = x.T @ (x @ v)
+        v = across(along(v))
         top = np.linalg.norm(v)
         v /= top
     rate = 1 / (0.25 * 1.1 * top + ridge)
-    w = ahead = np.zeros(x.shape[1])
-    keep = np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
+    w = ahead = np.zeros(x.shape[1] + 1)
+    keep = np.append(np.full(x.shape[1], ridge), 1e-6)
     for t in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        new = ahead - rate * (x.T @ (p - y) + keep * ahead)
+        p = 1 / (1 + np.exp(-np.clip(along(ahead), -30, 30)))
+        new = ahead - rate * (across(p - y) + keep * ahead)
         ahead = new + t / (t + 3) * (new - w)
         w = new
     return w
@@ -80,17 +84,23 @@ class View:
     """A standardising logistic model with Platt calibration."""
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> View:
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0)
-        self.scale[self.scale < 1e-9] = 1
+        self.mean = x.mean(axis=0, dtype=np.float64).astype(np.float32)
+        self.scale = np.ones(x.shape[1], np.float32)
+        z = x - self.mean
+        spread = np.sqrt(np.einsum("ij,ij->j", z, z) / len(z))
+        del z
+        self.scale[spread >= 1e-6] = spread[spread >= 1e-6]
         self.w = fit_logistic(self._z(x), y, ridge=0.02 * len(y) ** 0.5 + 1)
         self.a, self.b = 1.0, 0.0
         return self
 
     def _z(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6)
+        z = x - self.mean
+        z /= self.scale
+        return np.clip(z, -6, 6, out=z)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.a * (self._z(x) @ self.w[:-1] + self.w[-1]) + self.b
+        return self.a * ((self._z(x) @ self.w[:-1].astype(np.float32)).astype(np.float64) + self.w[-1]) + self.b
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> View:
         s = self.logit(x)
@@ -126,13 +136,15 @@ class Scorer:
         self.vocabulary, self.categories, self.text_view, self.meta_view, self.weights = vocabulary, categories, text_view, meta_view, weights
 
     def text_matrix(self, shapes: np.ndarray, has: list[list[int]]) -> np.ndarray:
-        out = np.zeros((len(has), len(self.vocabulary)), np.float64)
+        shapes = shapes.reshape(len(has), -1)
+        out = np.zeros((len(has), shapes.shape[1] + len(self.vocabulary)), np.float32)
+        out[:, : shapes.shape[1]] = shapes
         for i, k in enumerate(has):
-            out[i, k] = 1
-        return np.column_stack([shapes.reshape(len(has), -1), out])
+            out[i, np.asarray(k, np.int64) + shapes.shape[1]] = 1
+        return out
 
     def meta_matrix(self, rows: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(rows), len(self.categories) + 2))
+        out = np.zeros((len(rows), len(self.categories) + 2), np.float32)
         for name in ("source", "lang"):
             for i, value in enumerate(rows[name]):
                 k = self.categories.get((name, value if isinstance(value, str) else ""))
@@ -192,11 +204,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, accepted: Column | None = No
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             shapes, has = _features(batch["text"].tolist(), vocabulary)
-            yield batch.drop(columns="text").assign(shape=list(shapes), has=has)
+            yield batch.drop(columns="text").assign(shape=[x.tobytes() for x in shapes], has=[np.array(x, np.int32).tobytes() for x in has])
 
-    schema = "doc_id long, source string, lang string, n_chars double, y int, shape array<double>, has array<int>"
+    schema = "doc_id long, source string, lang string, n_chars double, y int, shape binary, has binary"
     got = sample.select("doc_id", "text", "source", "lang", "n_chars", "y").mapInPandas(features, schema).orderBy(*by_hash).toPandas()
-    text, meta, y = scorer.text_matrix(np.array(got["shape"].tolist()), got["has"].tolist()), scorer.meta_matrix(got), got["y"].to_numpy()
+    shapes = np.frombuffer(b"".join(got.pop("shape")), np.float64)
+    text, meta, y = scorer.text_matrix(shapes, [np.frombuffer(x, np.int32) for x in got.pop("has")]), scorer.meta_matrix(got), got["y"].to_numpy()
     at = np.flatnonzero(y >= 0)
     held, fitted, free = at[::4], np.setdiff1d(at, at[::4]), np.flatnonzero(y < 0)
     if len(set(y[held])) < 2 or len(set(y[fitted])) < 2:
