@@ -15,6 +15,8 @@ from .components import connected_components
 
 #: Bounds of the sample that pivots and centroids come from, and of what is sent to all tasks.
 SAMPLE_ROWS, MOST_PIVOTS, MOST_LISTS = 20_000, 2048, 1024
+#: Greatest cosine of two pivots; they are chosen from so many times their number of sampled vectors.
+PIVOT_COSINE, PIVOT_CHOICE = 0.8, 4
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -41,6 +43,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _well_apart(unit: np.ndarray, n: int, cosine: float) -> np.ndarray:
+    """The first n of these unit vectors of which none has more than this cosine to one before it."""
+    kept = np.empty((min(n, len(unit)), unit.shape[1]))
+    count = 0
+    for x in unit:
+        if count == len(kept):
+            break
+        if not count or (kept[:count] @ x).max() <= cosine:
+            kept[count] = x
+            count += 1
+    return kept[:count]
+
+
 def _least(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Smallest id that each row of a symmetric boolean matrix reaches."""
     low = ids.copy()
@@ -54,7 +69,9 @@ def _least(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, length: int = 12, lists: int = 8, min_shared: int = 3, block: int = 1024, pivots: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row with a vec_id.
 
-    Pivots are sampled vectors. A vector is described by its ``length``
+    Pivots are sampled vectors of which no two have a cosine above
+    PIVOT_COSINE: among pivots inside a group of noisy copies, noise alone
+    would say which are near. A vector is described by its ``length``
     nearest pivots in order; it stands in the inverted lists, one for each
     label and pivot, of the first ``lists`` of them. Two vectors of a list
     that share at least ``min_shared`` pivots are compared exactly, in the
@@ -73,7 +90,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, length: int = 1
     n = reps.count()
     if not n:
         return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    centre = _unit(_sample(rows, min(pivots or max(32, min(MOST_PIVOTS, n // 64)), n)))
+    wanted = pivots or max(32, min(MOST_PIVOTS, n // 64))
+    centre = _well_apart(_unit(_sample(reps, PIVOT_CHOICE * wanted)), wanted, PIVOT_COSINE)
     length, lists = min(length, len(centre)), min(lists, len(centre))
     min_shared = min(min_shared, length)
     pivot_ids = spark.sparkContext.broadcast(centre)  # at most MOST_PIVOTS vectors
@@ -106,12 +124,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, length: int = 1
             g = g.sort_values("vec_id")
             ids, weight, unit = g["vec_id"].to_numpy(np.int64), g["weight"].to_numpy(np.int64), _unit(_matrix(g["embedding"]))
             near, part = np.stack(g["near"].to_numpy()), g["part"].to_numpy()
-            has = np.zeros((len(g), int(near.max()) + 1), np.float32)
+            present, near = np.unique(near, return_inverse=True)
+            near = near.reshape(len(g), -1)
+            has = np.zeros((len(g), len(present)), np.float32)
             np.put_along_axis(has, near, 1, axis=1)
             first = np.zeros_like(has)
             np.put_along_axis(first, near[:, :lists], 1, axis=1)
             links = has @ has.T >= min_shared
-            before = first[:, :pivot]
+            before = first[:, present < pivot]
             links &= before @ before.T == 0  # met in an earlier list
             if i != j:
                 links &= part[:, None] != part[None, :]

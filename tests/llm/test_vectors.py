@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.llm.vectors import adaptive_scan, near_duplicates, nearest
@@ -47,6 +48,20 @@ def test_near_duplicates(spark, vectors, block):
     assert set(got) == {a for a, _, _ in vectors}
 
 
+def test_group_of_a_third_of_the_rows(spark):
+    r = np.random.default_rng(3)
+    n, d = 18_000, 64
+    x = r.standard_normal((n, d))
+    x[: n // 3] = r.standard_normal(d) + 0.1 * x[: n // 3]  # mean cosine 0.99
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": x.tolist(), "label": 1}), "vec_id long, embedding array<double>, label int")
+    got = near_duplicates(df).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = np.concatenate([(x[a : a + 2000] @ x.T >= 0.98).sum(axis=1) - 1 for a in range(0, n, 2000)])
+    assert want.sum() > 0.9 * (n // 3) ** 2 and (got <= want).all()
+    assert got.sum() >= 0.99 * want.sum()
+
+
 def test_no_vectors(spark, vectors):
     assert near_duplicates(frame(spark, [])).collect() == []
     assert [tuple(r) for r in near_duplicates(frame(spark, vectors[-3:-2])).collect()] == [(4004, 0, 4004, True)]
