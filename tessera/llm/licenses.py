@@ -1,13 +1,20 @@
 """Licence detection by Dice coefficients over word bigrams (operator 10), in DataFrame functions alone.
 
-Units are the lines of a text, and the whole text. A unit is normalised
+Units are the lines of a text, the whole of a short text, and windows of words
+that may cross line ends. A unit is normalised
 (lower case, everything but letters and digits to single spaces), cut into
 words, and its distinct neighbouring word pairs are compared with each
 template's: dice = 2 * shared / (unit's + template's). A template can only
 reach the threshold if the smaller set has at least threshold / (2 -
 threshold) of the larger one's pairs; sizes outside that are never compared.
-Units with more neighbouring words, repeats included, than the largest such
-size are no licence notices and are left out before any pair is built.
+A text in which no template has the pairs that it needs has no such unit, and
+is left out before any unit is built.
+
+A window begins and ends with a pair of the template, as other pairs at its
+ends would only lower the coefficient, and its first pair doesn't occur in it
+again, as leaving that out would not change the set. The sets of all windows
+from one pair are then the beginnings of one array: its followers up to its
+next occurrence, each where it is first seen.
 """
 
 from __future__ import annotations
@@ -54,36 +61,109 @@ def size_bounds(pairs: int, threshold: float) -> tuple[int, int]:
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, n_matches, licenses (sorted distinct names joined by commas), best_dice, for each row of docs.
 
-    n_matches counts the units (lines, and a text of several lines as a
-    whole) whose best template reaches the threshold, and licenses names
-    those templates; best_dice is the greatest coefficient among them,
-    rounded to six places, 0 if there is none. Null and empty texts match nothing; rows repeat as they come.
+    n_matches counts the units whose best template reaches the threshold, and
+    licenses names those templates; best_dice is the greatest coefficient
+    among them, rounded to six places, 0 if there is none. The units are the
+    lines, a text of several lines as a whole if it has no more words than the
+    largest notice, and windows: of windows that overlap the best, and none
+    that overlaps a matching line or whole of the same name or of no smaller
+    coefficient. Null and empty texts match nothing; rows repeat as they come.
     """
     kinds = [(name, pairs_of(text)) for name, text in templates or TEMPLATES]
     bounds = [size_bounds(len(p), threshold) for _, p in kinds]
     low, high = min(a for a, _ in bounds), max(b for _, b in bounds)
     every = F.array(*[F.lit(x) for x in sorted({x for _, p in kinds for x in p})])
 
+    none = F.array().cast("array<struct<minus:double,name:string,a:int,b:int>>")
     plain = F.lower(F.regexp_replace(text_column(), "[^A-Za-z0-9\n]+", " "))
-    lines = F.transform(F.split(plain, "\n", -1), lambda x: F.split(F.trim(x), " "))
-    filled = F.filter("lines", lambda ws: ws[0] != "")
-    whole = F.when((F.size("lines") > 1) & (F.aggregate(filled, F.lit(0), lambda n, ws: n + F.size(ws)) <= high + 1), F.array(F.flatten(filled))).otherwise(F.array().cast("array<array<string>>"))
+    words = F.split(F.trim(F.regexp_replace(F.col("plain"), "[ \n]+", " ")), " ")
+    lines = F.filter(F.transform(F.split("plain", "\n", -1), lambda x: F.split(F.trim(x), " ")), lambda ws: ws[0] != "")
+
+    def let(value: Column, f) -> Column:
+        """f of a value that is worked out once."""
+        return F.transform(F.array(value), f)[0]
+
+    def shared(p: Column, known: list[str]) -> Column:
+        return F.size(F.array_intersect(p, F.array(*[F.lit(x) for x in known])))
 
     def pairs(ws: Column) -> Column:
-        return F.array_distinct(F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+        return F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
 
-    def best(p: Column) -> Column:
-        """The template of the greatest coefficient; ties: the first name."""
+    def best(p: Column, first: Column, words: Column) -> Column:
+        """The template of the greatest coefficient (ties: the first name), with the first and last pair."""
         made = []
         for (name, known), (a, b) in zip(kinds, bounds):
-            dice = 2.0 * F.size(F.array_intersect(p, F.array(*[F.lit(x) for x in known]))) / (F.size(p) + len(known))
-            made.append(F.when(F.size(p).between(a, b), F.struct((-dice).alias("minus"), F.lit(name).alias("name"))))
+            dice = 2.0 * shared(p, known) / (F.size(p) + len(known))
+            made.append(F.when(F.size(p).between(a, b), F.struct((-dice).alias("minus"), F.lit(name).alias("name"), first.alias("a"), (first + words - 2).alias("b"))))
         return F.array_min(F.array(*made))  # nulls are passed over
 
-    near = F.filter(F.concat("lines", whole), lambda ws: F.size(ws).between(low + 1, high + 1))
-    sets = F.filter(F.transform(near, pairs), lambda p: F.arrays_overlap(p, every))
-    hits = F.filter(F.transform(sets, best), lambda h: h["minus"] <= 1e-9 - threshold)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines")).select("doc_id", hits.alias("hits")).select(
+    def reached(hits: Column) -> Column:
+        return F.filter(hits, lambda h: h["minus"] <= 1e-9 - threshold)
+
+    # lines and whole texts; the line at i begins with the pair of the number of words before it
+    def unit(ws: Column, first: Column) -> Column:
+        return let(F.array_distinct(pairs(ws)), lambda p: F.when(F.size(p).between(low, high) & F.arrays_overlap(p, every), best(p, first, F.size(ws))))
+
+    before = lambda i: F.aggregate(F.slice("lines", F.lit(1), i), F.lit(1), lambda n, ws: n + F.size(ws))
+    by_line = reached(F.transform("lines", lambda ws, i: F.when(F.size(ws) > low, unit(ws, i))))
+    placed = F.transform("by_line", lambda h: let(before(h["a"]), lambda n: h.withField("a", n).withField("b", h["b"] - h["a"] + n)))
+    whole = F.when((F.size(F.split("plain", "\n", -1)) > 1) & F.size("words").between(low + 1, high + 1), reached(F.array(unit(F.col("words"), F.lit(1))))).otherwise(none)
+
+    # windows
+    begun = 4 * (high + 1)
+
+    def followers(i: Column) -> Column:
+        """Distinct pairs from the one at i up to its next occurrence, at least so many as a window can have."""
+
+        def cut(s: Column, otherwise) -> Column:
+            return let(F.array_position(F.slice(s, F.lit(2), F.size(s)), s[0]).cast("int"), lambda k: F.when(k > 0, F.array_distinct(F.slice(s, F.lit(1), k))).otherwise(otherwise(s)))
+
+        def further(s: Column) -> Column:
+            rest = lambda: cut(F.slice(F.col("pairs"), i, F.size("pairs")), F.array_distinct)
+            return let(F.array_distinct(s), lambda d: F.when((F.size(d) > high) | (i + begun > F.size("pairs")), d).otherwise(rest()))
+
+        return let(F.slice(F.col("pairs"), i, F.lit(begun)), lambda s: cut(s, further))
+
+    def window(i: Column, d: Column) -> Column:
+        """The best window from the pair at i; b is as yet the number of its distinct pairs."""
+        made = []
+        for (name, known), (a, b) in zip(kinds, bounds):
+            own = F.array(*[F.lit(x) for x in known])
+            start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("m"), F.lit(0.0).alias("minus"), F.lit(0).alias("b"))
+
+            def step(s: Column, p: Column) -> Column:
+                more = F.struct((s["n"] + 1).alias("n"), (s["m"] + F.array_contains(own, p).cast("int")).alias("m"), s["minus"].alias("minus"), s["b"].alias("b"))
+                dice = lambda t: -2.0 * t["m"] / (t["n"] + len(known))
+                return let(more, lambda t: F.when(dice(t) < t["minus"], F.struct(t["n"].alias("n"), t["m"].alias("m"), dice(t).alias("minus"), t["n"].alias("b"))).otherwise(t))
+
+            at = lambda ps: F.aggregate(ps, start, step)
+            scored = let(at(F.slice(d, F.lit(1), F.lit(b))), lambda s: F.struct(s["minus"].alias("minus"), F.lit(name).alias("name"), i.alias("a"), s["b"].alias("b")))
+            made.append(F.when(F.array_contains(own, d[0]) & (shared(F.slice(d, F.lit(1), F.lit(b)), known) >= a), scored))
+        return F.array_min(F.array(*made))
+
+    starts = F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains("own", p), i + 1)), lambda i: i.isNotNull())
+    found = reached(F.transform(starts, lambda i: let(followers(i), lambda d: let(window(i, d), lambda h: h.withField("b", i + F.array_position(F.slice(F.col("pairs"), i, F.size("pairs")), d[h["b"] - 1]).cast("int") - 1)))))
+    held = F.struct(none.alias("done"), F.lit(None).cast("struct<minus:double,name:string,a:int,b:int>").alias("last"))
+
+    def apart(s: Column, h: Column) -> Column:
+        """Windows come by their first pair; of those that overlap the last one the best stays."""
+        last = s["last"]
+        return F.when(last.isNull(), F.struct(s["done"].alias("done"), h.alias("last"))).when(
+            h["a"] > last["b"], F.struct(F.concat(s["done"], F.array(last)).alias("done"), h.alias("last"))
+        ).when(h["minus"] < last["minus"], F.struct(s["done"].alias("done"), h.alias("last"))).otherwise(s)
+
+    chosen = F.aggregate("found", held, apart, lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))
+    fresh = F.filter("chosen", lambda w: ~F.exists("units", lambda u: (u["a"] <= w["b"]) & (u["b"] >= w["a"]) & ((u["name"] == w["name"]) | (u["minus"] <= w["minus"]))))
+
+    some = F.size("own") > 0
+    enough = [F.when(shared(F.col("own"), known) >= a, F.array(*[F.lit(x) for x in known])) for (_, known), (a, _) in zip(kinds, bounds)]
+    if_some = lambda x: F.when(some, x).otherwise(none)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain.alias("plain")).select("doc_id", "plain", words.alias("words"))
+    rows = rows.withColumn("pairs", pairs(F.col("words"))).withColumn("own", F.array_intersect("pairs", every))
+    rows = rows.withColumn("own", F.when(F.size("own") > 0, F.array_intersect("own", F.flatten(F.array_compact(F.array(*enough))))).otherwise(F.col("own")))
+    rows = rows.withColumn("lines", F.when(some, lines)).withColumn("by_line", if_some(by_line)).withColumn("units", if_some(F.concat(placed, whole)))
+    rows = rows.withColumn("found", if_some(found)).withColumn("chosen", chosen).withColumn("hits", F.concat("units", fresh))
+    return rows.select("doc_id", "hits").select(
         "doc_id",
         F.size("hits").cast("long").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["name"]))), ",").alias("licenses"),
