@@ -50,9 +50,33 @@ def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: flo
         if size > start:
             items.append((start - size, d, start))
     cost = lambda x: linear * x + quadratic * x * x
-    cheapest = [(0.0, s) for s in range(sequence, n)]
     costs = dict.fromkeys(range(sequence, n), 0.0)
 
+    # sequences by room, each room's as a heap by cost; a segment tree over rooms holds the least of them
+    leaves = 1 << capacity.bit_length()
+    by_room: dict[int, list[tuple[float, int]]] = {capacity: [(0.0, s) for s in costs]}
+    none = (float("inf"), -1)
+    least = [none] * (2 * leaves)
+
+    def renew(r: int) -> None:
+        at = leaves + r
+        least[at] = by_room[r][0] if by_room[r] else none
+        while at > 1:
+            at >>= 1
+            least[at] = min(least[2 * at], least[2 * at + 1])
+
+    def cheapest(size: int) -> int:
+        """The cheapest sequence with that much room, -1 if there is none."""
+        at = leaves + size
+        found = least[at]
+        while at > 1:
+            if at % 2 == 0:
+                found = min(found, least[at + 1])
+            at >>= 1
+        return found[1]
+
+    renew(capacity)
+
     def put(d: int, start: int, size: int, s: int) -> None:
         pieces.append((d, start, size, s, int(used[s])))
         used[s] += size
@@ -61,22 +85,18 @@ def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: flo
     items.sort()
     cut: list[tuple[int, int, int]] = []
     for minus, d, start in items:
-        size, skipped = -minus, []
-        while cheapest:
-            c, s = heapq.heappop(cheapest)
-            if capacity - used[s] >= size:
-                put(d, start, size, s)
-                if used[s] < capacity:
-                    heapq.heappush(cheapest, (costs[s], s))
-                break
-            skipped.append((c, s))
-            if len(skipped) >= 64:  # the rest is nearly as full: this document is cut
-                cut.append((d, start, size))
-                break
-        else:
+        size = -minus
+        s = cheapest(size)
+        if s < 0:
             cut.append((d, start, size))
-        for x in skipped:
-            heapq.heappush(cheapest, x)
+            continue
+        r = capacity - int(used[s])
+        heapq.heappop(by_room[r])
+        renew(r)
+        put(d, start, size, s)
+        if r > size:
+            heapq.heappush(by_room.setdefault(r - size, []), (costs[s], s))
+            renew(r - size)
     room = [(int(used[s]) - capacity, s) for s in costs if used[s] < capacity]
     heapq.heapify(room)
     for d, start, size in cut:

@@ -104,6 +104,22 @@ def test_pack_balances_cost():
     assert load.max() < 1.35 * load.min()
 
 
+def test_pack_cuts_only_what_fits_nowhere():
+    lengths = np.random.default_rng(5).lognormal(5.5, 1.0, 2000).astype(np.int64) % 2048
+    n = -(-int(lengths.sum()) // 2048)
+    assert n > 200
+    room, cost, want = np.full(n, 2048), np.zeros(n), {}
+    for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+        fits = np.flatnonzero(room >= lengths[d])
+        if lengths[d] and len(fits):
+            s = int(fits[np.argmin(cost[fits])])
+            want[d] = s
+            room[s] -= lengths[d]
+            cost[s] += 1.0 * int(lengths[d]) + 1.0 / 2048 * int(lengths[d]) ** 2
+    got = {d: s for d, _, size, s, _ in pack(lengths, 2048) if size == lengths[d]}
+    assert {d: got.get(d) for d in want} == want
+
+
 def test_packed_documents(spark, docs):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     library.encode_special_tokens = True
