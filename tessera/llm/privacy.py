@@ -3,8 +3,8 @@
 Patterns find e-mail addresses, IP addresses, card numbers and phone
 numbers; their values are the protected entities. Terms within a few words
 of an entity are measured on the whole corpus: with N documents, df(t) and
-df(e) that hold the term and the entity, and n(t, e) in which they stand
-together, the term's disclosure is
+df(e) that hold the term and the entity, and n(t, e) that hold both,
+wherever they stand, the term's disclosure is
 
     log(n(t, e) * N / (df(t) * df(e))) / log(N / df(e)),
 
@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from .common import id_column, ids_of, materialize, ship, table, text_column, wi
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, LEAST_CONTEXTS, GENERALISE, REMOVE = 5, 3, 0.8, 0.97
-#: At most so many terms are broadcast to be counted; beyond that all words are counted and joined.
+#: At most so many terms, and pairs of an entity and a term, are broadcast to be counted; beyond that all are counted and joined.
 MOST_TERMS = 200_000
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
 
@@ -42,6 +43,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _DIGITS = re.compile(r"[^0-9]+")
+_NONE: frozenset[str] = frozenset()
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -91,20 +93,26 @@ def entity(kind: str, value: str) -> str:
 def contexts(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> list[tuple[str, str, int, int, int]]:
     """(entity, term, start, end, hash of the wording) for the terms within so many words of each span, but those in spans."""
     out = []
+    words = [m.span() for m in _TERM.finditer(text)]
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+    lowered = [text[s:e].lower() for s, e in words]
+    inside = {i for _, y, z in spans for i in range(bisect_right(ends, y), bisect_left(starts, z))}
     for kind, a, b in spans:
-        left, right = max(0, a - 40 * window), b + 40 * window
-        before = [(m.start() + left, m.end() + left) for m in _TERM.finditer(text[left:a])][-window:]
-        after = [(m.start() + b, m.end() + b) for m in _TERM.finditer(text[b:right])][:window]
-        words = [(s, e) for s, e in before + after if not any(s < z and e > y for _, y, z in spans)]
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        near = [i for i in (*range(max(0, before - window), before), *range(after, min(after + window, len(words)))) if i not in inside]
         name = entity(kind, text[a:b])
-        wording = xxhash.xxh64_intdigest(" ".join(text[s:e].lower() for s, e in words)) >> 1
-        out += [(name, text[s:e].lower(), s, e, wording) for s, e in words]
+        wording = xxhash.xxh64_intdigest(" ".join(lowered[i] for i in near)) >> 1
+        out += [(name, lowered[i], *words[i], wording) for i in near]
     return out
 
 
+def words_of(text: str) -> set[str]:
+    return {w.lower() for w in set(_TERM.findall(text))}
+
+
 FOUND = (
     "row long, doc_id long, digest string, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<string>,"
-    " near array<struct<entity:string,term:string,start:int,stop:int,wording:long,first:int>>"
+    " near array<struct<entity:string,term:string,start:int,stop:int,wording:long>>"
 )
 
 
@@ -116,10 +124,9 @@ def _find(docs: DataFrame, window: int) -> DataFrame:
             for doc, text in zip(ids_of(batch["doc_id"]), batch["text"].tolist()):
                 spans = base_spans(text)
                 count = Counter(k for k, _, _ in spans)
-                near, seen = [], set()
+                near = []
                 for name, term, a, b, wording in contexts(text, spans, window) if spans else ():
-                    near.append({"entity": name, "term": term, "start": a, "stop": b, "wording": wording, "first": int((name, term) not in seen)})
-                    seen.add((name, term))
+                    near.append({"entity": name, "term": term, "start": a, "stop": b, "wording": wording})
                 rows.append((
                     row, doc, hashlib.md5(text.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in spans),
                     *(count[k] for k in KINDS[:4]), sorted({entity(k, text[a:b]) for k, a, b in spans}), near,
@@ -130,37 +137,54 @@ def _find(docs: DataFrame, window: int) -> DataFrame:
     return materialize(docs.select(id_column(), text_column().alias("text")).mapInPandas(run, FOUND), "personal")
 
 
-def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df: in how many documents each of these terms occurs."""
+def _document_counts(docs: DataFrame, pairs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """term, df: in how many documents each of these terms occurs; entity, term, n: in how many each of these pairs does, wherever its two stand."""
+    context = docs.sparkSession.sparkContext
     few = [r["term"] for r in terms.limit(MOST_TERMS + 1).collect()]
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(few) if len(few) <= MOST_TERMS else None)
+    few_pairs = pairs.select("entity", "term").limit(MOST_TERMS + 1).collect()
+    of = defaultdict(set)
+    for r in few_pairs:
+        of[r["entity"]].add(r["term"])
+    wanted = context.broadcast((frozenset(few) if len(few) <= MOST_TERMS else None, dict(of) if len(few_pairs) <= MOST_TERMS else None))
+
+    def frame(count: Counter) -> pd.DataFrame:
+        return pd.DataFrame([(*k, n) for k, n in count.items()], columns=["entity", "term", "n"]).astype({"entity": object, "term": object, "n": np.int64})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        only, count = wanted.value, Counter()
+        (only, of), count = wanted.value, Counter()
         for batch in batches:
             for text in batch["text"]:
-                words = set(_TERM.findall(text.lower()))
-                count.update(words if only is None else words & only)
+                words = words_of(text)
+                if only is not None:
+                    words &= only
+                count.update((None, w) for w in words)
+                for name in {entity(k, text[a:b]) for k, a, b in base_spans(text)} if words else ():
+                    count.update((name, w) for w in (words if of is None else words & of.get(name, _NONE)))
+                    if len(count) > 200_000:
+                        yield frame(count)
+                        count = Counter()
             if len(count) > 200_000:
-                yield pd.DataFrame(list(count.items()), columns=["term", "n"])
+                yield frame(count)
                 count = Counter()
-        yield pd.DataFrame(list(count.items()), columns=["term", "n"]).astype({"term": object, "n": np.int64})
+        yield frame(count)
 
-    counted = docs.select(text_column().alias("text")).mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    return counted.join(terms, "term") if len(few) > MOST_TERMS else counted
+    counted = docs.select(text_column().alias("text")).mapInPandas(run, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "counts")
+    frequency = counted.where("entity is null").select("term", F.col("n").alias("df"))
+    return frequency, counted.where("entity is not null")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, least_contexts: int = LEAST_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
     """entity, term, disclosure of the pairs that reach the threshold; all documents are counted."""
     near = found.select(F.explode("near").alias("x")).select("x.*")
-    pairs = near.groupBy("entity", "term", "wording").agg(F.sum("first").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"))
+    pairs = near.select("entity", "term", "wording").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
     pairs = materialize(pairs.where(F.col("contexts") >= least_contexts), "pairs")
     terms = materialize(pairs.select("term").distinct(), "terms")
-    frequency = _document_counts(docs, terms)
+    frequency, together = _document_counts(docs, pairs, terms)
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("de"))
     total = F.lit(float(found.count()))
     measured = (
-        pairs.join(frequency, "term").join(entities, "entity")
+        pairs.join(together, ["entity", "term"]).join(frequency, "term").join(entities, "entity")
         .withColumn("disclosure", F.when(F.col("de") < total, F.log(F.col("n") * total / (F.col("df") * F.col("de"))) / F.log(total / F.col("de"))).otherwise(F.lit(0.0)))
     )
     return materialize(measured.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure"), "disclosing")

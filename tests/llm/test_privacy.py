@@ -55,6 +55,33 @@ def test_terms_that_disclose(spark):
     assert S.personal_data(docs.limit(0)).collect() == []
 
 
+def wide_corpus():
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice(["lorem", "ipsum", "dolor", "amet", "elit", "sed"]) for _ in range(n))
+    rows = [(i, say(30)) for i in range(300)]
+    # in all documents of the address, but near it in three only; and one whose next words stand beyond numbers
+    rows += [(1000 + i, f"zorblax {say(r.randrange(1, 3))} joe@mail.example.org" if i < 3 else f"zorblax {say(20)} joe@mail.example.org {say(20)}") for i in range(20)]
+    rows += [(2000 + i, f"{say(3)} 10.1.2.3 {'12 34 ' * 100} {say(i)} quuxly {say(9)}") for i in range(3)]
+    return rows
+
+
+def test_whole_documents_are_counted(spark, monkeypatch):
+    rows = wide_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (S.MOST_TERMS, 0):
+        monkeypatch.setattr(S, "MOST_TERMS", most)
+        got = {r.doc_id: r.terms for r in S.personal_data(docs).collect()}
+        for i, text in rows:
+            if 1000 <= i < 1003 or i >= 2000:
+                at = text.index("zorblax" if i < 2000 else "quuxly")
+                assert f"gone:{at}:" in got[i], (most, i)
+
+
+def test_long_words_are_whole():
+    long = "ж" * 300
+    assert [(t, a, b) for _, t, a, b, _ in S.contexts(f"{long} a@b.co {long}", [("email", 301, 307)])] == [(long, 0, 300), (long, 308, 608)]
+
+
 def test_all_words_counted_beyond_the_limit(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(), SCHEMA)
     want = sorted(map(tuple, S.personal_data(docs).select("doc_id", "terms").collect()), key=str)
