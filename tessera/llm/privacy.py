@@ -217,6 +217,17 @@ def replaced(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def merged(spans: str) -> str:
+    """The spans with those that overlap made one, of the kind of the first and longest."""
+    out: list[list] = []
+    for a, minus, k in sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans.split(",") if x)):
+        if out and a < out[-1][2]:
+            out[-1][2] = max(out[-1][2], -minus)
+        else:
+            out.append([k, a, -minus])
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in out)
+
+
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with personal data marked and disclosing terms generalised or removed; other columns stay."""
     spark = docs.sparkSession
@@ -228,7 +239,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
 
     @F.pandas_udf("string")
     def rewrite(text: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([replaced(t, s) if s else t for t, s in zip(text, at)], dtype=object)
+        return pd.Series([replaced(t, merged(s)) if s else t for t, s in zip(text, at)], dtype=object)
 
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("tessera_id")) & (F.md5(text_column().cast("binary")) == F.col("tessera_digest"))
     out = docs.join(spans, same, "left")

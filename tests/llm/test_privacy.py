@@ -110,3 +110,10 @@ def test_query(spark, monkeypatch):
 
 def test_overlaps_are_replaced_once():
     assert S.replaced("0123456789", "card:2:6,ip:4:8,gone:8:9") == "01[CARD]679"
+
+
+def test_no_tail_of_an_overlapping_span_stays(spark):
+    rows = [(1, "call +1 212 555 1234.joe@x.com now"), (2, "at 10.0.0.4 111 1111 1111 1111 end")]
+    got = {r.doc_id: r.text for r in S.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "call [PHONE] now", 2: "at [IP] end"}
+    assert S.merged("card:2:6,ip:4:8,gone:8:9,email:0:1") == "email:0:1,card:2:8,gone:8:9"
