@@ -1,4 +1,4 @@
-"""Near-duplicate documents by a MinHash LSH forest and exact verification (operator 2)."""
+"""Near-duplicate documents by MinHash LSH in fixed bands and exact verification (operator 2)."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from .components import connected_components
 from .vocabulary import slices
 
 WORDS, THRESHOLD = 5, 0.8
-#: Trees, their greatest prefix length, and the wanted chance to find a pair at the threshold.
+#: Bands, their greatest length, and the wanted chance to find a pair at the threshold.
 TREES, DEPTH, RECALL = 20, 8, 0.9995
 #: Members of a bucket or class compared in one piece; larger ones are split into pairs of blocks.
 BLOCK = 512
