@@ -56,8 +56,11 @@ class PieceModel:
         # symbols: the ids of pieces; characters that are no piece come after them
         self.symbol = dict(self.id_of)
         pairs = {}
+        together: set[tuple[str, str]] = set()  # symbols that stand side by side within some piece
         unsafe = np.zeros(self.n, bool)
         for p, i in self.id_of.items():
+            parts = [[p[a:b] for b in range(a + 1, len(p) + 1) if b == a + 1 or p[a:b] in self.id_of] for a in range(len(p))]
+            together.update((x, y) for a in range(len(p) - 1) for x in parts[a] if a + len(x) < len(p) for y in parts[a + len(x)])
             for cut in range(1, len(p)):
                 halves = p[:cut], p[cut:]
                 if all(len(x) == 1 or x in self.id_of for x in halves):
@@ -68,6 +71,8 @@ class PieceModel:
                             unsafe[self.id_of[x]] = True
         ties = np.bincount(order[list(self.id_of.values())], minlength=order.max() + 1)
         self.unsafe = unsafe | (ties[order] > 1)
+        for x, y in together:
+            pairs.setdefault(self.symbol.setdefault(x, self.n + len(self.symbol)) << 32 | self.symbol.setdefault(y, self.n + len(self.symbol)), -1)
         self._index(pairs, order)
         self.most = most
         self.cache: dict[str, bytes] = {}
@@ -76,23 +81,34 @@ class PieceModel:
         self.line_end = int(self.byte_id[10]).to_bytes(4, "little")
 
     def _index(self, pairs: dict[int, int], order: np.ndarray) -> None:
-        """Pairs in an open-addressed table of arrays: looked up by a multiplication and a few probes."""
+        """Pairs in an open-addressed table of arrays: looked up by a multiplication and a few probes.
+
+        Pairs that merge have the rank and id of their piece. Those that only
+        stand side by side within a piece have _FAR: what lies around them
+        may yet merge across. All others never do.
+        """
         bits = max(4, (4 * len(pairs)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
         self.table = np.full(1 << bits, -1, np.int64)
         self.table_rank = np.full(1 << bits, _FAR, np.int32)
         self.table_piece = np.full(1 << bits, -1, np.int32)
         self.probes = 1
-        for key, piece in pairs.items():
-            slot = (key * int(_MIX) & (1 << 64) - 1) >> int(self.shift)
-            n = 1
-            while self.table[slot] != -1:
-                slot, n = (slot + 1) & int(self.mask), n + 1
-            self.table[slot], self.table_rank[slot], self.table_piece[slot] = key, order[piece], piece
-            self.probes = max(self.probes, n)
-
-    def _ranked(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (far: none) and merged piece of the pair that begins at each of these places."""
+        key = np.fromiter(pairs.keys(), np.int64, len(pairs))
+        piece = np.fromiter(pairs.values(), np.int64, len(pairs))
+        slot = ((key.view(np.uint64) * _MIX) >> self.shift).astype(np.int64)
+        while len(key):  # each free slot takes the first that asks for it; the others try the next one
+            free = self.table[slot] == -1
+            taker = np.zeros(len(key), bool)
+            taker[np.unique(slot, return_index=True)[1]] = True
+            taker &= free
+            at = slot[taker]
+            self.table[at], self.table_piece[at] = key[taker], piece[taker]
+            self.table_rank[at] = np.where(piece[taker] >= 0, order[piece[taker]], _FAR)
+            key, piece, slot = key[~taker], piece[~taker], (slot[~taker] + 1) & int(self.mask)
+            self.probes += len(key) > 0
+
+    def _ranked(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rank (far: none) and merged piece of the pair that begins at each of these places, and whether anything can ever merge across it."""
         right = np.minimum(at + 1, len(sym) - 1)
         same = (word[at] == word[right]) & (right > at)
         key = sym[at] << 32 | sym[right]
@@ -104,35 +120,41 @@ class PieceModel:
                 break
             slot = np.where(other, (slot + np.uint64(1)) & self.mask, slot)
         found = same & (self.table[slot] == key)
-        return np.where(found, self.table_rank[slot], _FAR), self.table_piece[slot]
+        return np.where(found, self.table_rank[slot], _FAR), self.table_piece[slot], found
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has.
 
-        Flat arrays hold all symbols. In each round every word finds its
+        Flat arrays hold all symbols. Segments begin as words, and are cut
+        wherever two neighbours stand side by side in no piece: what lies on
+        either side of such a place never merges across it, so the sides are
+        independent from then on. In each round every segment finds its
         best pair; all its leftmost occurrences merge at once where nothing
         better can come of that, else the first alone; merged symbols are
-        taken out; words without a pair leave.
+        taken out; segments without a pair leave. Segments soon are a few
+        symbols long, so that rounds don't grow with the length of a word.
         """
         size = np.fromiter(map(len, words), np.int64, len(words))
         text = "".join(words)
         get, later = self.symbol.get, self.n + len(self.symbol)
         chars = list(text)
         sym = np.fromiter((get(c, later + 1) for c in chars), np.int64, len(chars))
-        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        word = of = np.repeat(np.arange(len(words), dtype=np.int32), size)
         char = np.arange(len(chars), dtype=np.int32)
-        rank, piece = self._ranked(sym, word, np.arange(len(sym)))
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rank, piece, joins = self._ranked(sym, word, np.arange(len(sym)))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
+            # segments end where nothing joins
+            word = np.cumsum(~joins, dtype=np.int32) - ~joins
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             best = np.minimum.reduceat(rank, first)
             length = np.diff(np.append(first, len(sym)))
             best = np.repeat(best, length)
             over = best == _FAR
             if over.any():
-                done.append((word[over], sym[over], char[over]))
+                done.append((sym[over], char[over]))
                 keep = ~over
-                sym, word, char, rank, piece, best = (x[keep] for x in (sym, word, char, rank, piece, best))
+                sym, word, char, rank, piece, joins, best = (x[keep] for x in (sym, word, char, rank, piece, joins, best))
                 if not len(sym):
                     break
             at = np.flatnonzero(rank == best)
@@ -149,14 +171,15 @@ class PieceModel:
             keep[at + 1] = False
             changed[at] = True
             changed[np.maximum(at - 1, 0)] = True
-            sym, word, char, rank, piece, changed = (x[keep] for x in (sym, word, char, rank, piece, changed))
+            sym, word, char, rank, piece, joins, changed = (x[keep] for x in (sym, word, char, rank, piece, joins, changed))
             at = np.flatnonzero(changed)
-            rank[at], piece[at] = self._ranked(sym, word, at)
+            rank[at], piece[at], joins[at] = self._ranked(sym, word, at)
         if not done:
             return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
-        word, sym, char = (np.concatenate(x) for x in zip(*done))
+        sym, char = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(char)
-        word, sym, char = word[order], sym[order], char[order]
+        sym, char = sym[order], char[order]
+        word = of[char]
         other = np.flatnonzero(sym >= self.n)
         count = np.ones(len(sym), np.int64)
         if len(other):  # characters without a piece become bytes
@@ -256,6 +279,12 @@ def _encoded(docs: DataFrame, model: str | None, schema: str, made) -> DataFrame
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of documents.
+
+    Null and empty texts are the begin and end ids alone; a null doc_id stays
+    null; repeated rows come as often as they are; no rows give none; texts
+    are encoded whole, in time that grows with their length, spaces or not.
+    """
     def digest(ids: np.ndarray, text: str) -> tuple:
         return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
