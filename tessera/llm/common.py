@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -27,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named, as in tests."""
+    """The folder that driver and executors share. Where none is named, one machine uses a temporary folder, and a cluster raises."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = getattr(spark, "_tessera_dir", None)
         if not where:
             where = spark._tessera_dir = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
@@ -71,8 +75,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 _written: list[str] = []
 
 
+def written_folder(path: str) -> None:
+    """Have release() delete this folder as well."""
+    _written.append(path)
+
+
 def release(spark: SparkSession) -> int:
-    """Delete the tables that materialize() has written in this process; for when their results have been used. How many went."""
+    """Delete the tables and folders written in this process; for when their results have been used. How many went."""
     n = 0
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
@@ -105,6 +114,46 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by these keys, as frames that hold all rows of each of their groups.
+
+    For mapInPandas after a repartition and sort by the keys: small groups
+    come many to a frame, and no more than a batch and one group is held.
+    """
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = np.zeros(len(batch), bool)
+        for k in keys:
+            v = batch[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        if held:
+            new[0] = any(held[-1][k].iloc[-1] != batch[k].iloc[0] for k in keys)
+        starts = np.flatnonzero(new)
+        if not len(starts):
+            held.append(batch)
+            continue
+        first, last = starts[0], starts[-1]
+        if held or first:
+            yield pd.concat([*held, batch.iloc[:first]], ignore_index=True)
+        if last > first:
+            yield batch.iloc[first:last].reset_index(drop=True)
+        held = [batch.iloc[last:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def group_edges(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where the groups of sorted rows begin, and their end."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for k in keys:
+        v = rows[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(new), len(rows))
+
+
 #: At most so many ids are broadcast; beyond that the join is shuffled.
 BROADCAST_IDS = 500_000
 

@@ -111,10 +111,12 @@ def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: flo
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 1, pack_tokens: int = 2_000_000) -> DataFrame:
-    """One row per piece; other columns of docs are ignored.
+    """One row per piece; other columns of docs are ignored, whatever their names.
 
-    Null and empty texts are documents of the end id alone. Repeated rows
-    are packed each. Sequence ids are unique: the task's number, then a count.
+    Null and empty texts are documents of the end id alone; a null doc_id
+    stays null. Repeated rows are packed each. Texts of more tokens than a
+    sequence has are cut into whole sequences and a rest. No rows give no
+    pieces. Sequence ids are unique: the task's number, then a count.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
@@ -153,4 +155,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; nulls, ties, long texts and empty tables as pack_documents() has them."""
     return pack_documents(table(spark, sf_dir, "documents"))

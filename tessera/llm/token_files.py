@@ -1,8 +1,8 @@
 """Token ids in Arrow files of fixed-size-list batches (operator 7).
 
 Each range of doc_id becomes one Arrow IPC file: equal-length sequences of
-ids beside their masks, uncompressed, so that any sequence is read without
-a copy through a memory map. A table beside the files says where each
+ids beside their masks, uncompressed, so that any sequence and its mask are
+slices of a memory map, without a copy. A table beside the files says where each
 document lies. File names are new for each task attempt and only the rows
 of finished tasks reach that table, so attempts that were lost leave
 nothing that is read.
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_column, ids_of, materialize, shared_dir, table, text_column
+from .common import id_column, ids_of, materialize, shared_dir, table, text_column, written_folder
 from .vocabulary import chunk_encoder
 
 SEQUENCE, PER_BATCH = 2048, 64
@@ -72,7 +72,7 @@ class TokenFileWriter:
 
 
 class TokenFile:
-    """Random access: file[i] gives sequence i's ids and mask; span(at, n) gives ids that may cross sequences."""
+    """Random access: file[i] gives sequence i's ids (numpy) and mask (an Arrow boolean array), both views of the file; span(at, n) gives ids that may cross sequences."""
 
     def __init__(self, uri: str):
         fs, path = _place(uri)
@@ -80,20 +80,27 @@ class TokenFile:
         self.file = pa.ipc.open_file(self.source)
         self.sequence = self.file.schema.field("ids").type.list_size
         self.per_batch = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
+        self.held: tuple[int, pa.RecordBatch] | None = None
+
+    def _batch(self, i: int) -> pa.RecordBatch:
+        """Batch i; the last one asked for is kept, as reading in order from a store without memory maps would fetch it again and again."""
+        if self.held is None or self.held[0] != i:
+            self.held = i, self.file.get_batch(i)
+        return self.held[1]
 
     def __len__(self) -> int:
         n = self.file.num_record_batches
         return (n - 1) * self.per_batch + self.file.get_batch(n - 1).num_rows if n else 0
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        batch = self.file.get_batch(i // self.per_batch).slice(i % self.per_batch, 1)
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        batch = self._batch(i // self.per_batch).slice(i % self.per_batch, 1)
         ids, mask = (batch.column(k).flatten() for k in (0, 1))
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def span(self, at: int, n: int) -> np.ndarray:
         block, out = self.sequence * self.per_batch, []
         while n > 0:
-            flat = self.file.get_batch(at // block).column(0).flatten().to_numpy()
+            flat = self._batch(at // block).column(0).flatten().to_numpy()
             part = flat[at % block : at % block + n]
             out.append(part)
             at, n = at + len(part), n - len(part)
@@ -103,7 +110,9 @@ class TokenFile:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """Write all documents in ascending doc_id order; returns doc_id, path, shard, first (place in the file), n_tokens, start.
 
-    Null texts are empty; null doc_ids come first; repeated rows are written each.
+    Null texts are empty; null doc_ids come first; repeated rows are written
+    each, rows of one doc_id in no stated order. Long texts are rows like
+    others, no rows give no files, and other columns of docs are ignored.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
@@ -126,8 +135,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         if writer:
             writer.close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered = ordered.select(id_column(), "text")
+    # ranges of (doc_id, hash, row): rows of one id, null or not, may lie in several
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
+    ordered = ordered.select("doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"), "text")
+    ordered = ordered.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select(id_column(), "text")
+    written_folder(folder)
     index = materialize(ordered.mapInPandas(run, INDEX), "token-index")
     # one row per file: its number of ids, then the ids of all files before it
     sizes = sorted((r["shard"], r["n"]) for r in index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
@@ -154,5 +166,6 @@ def read_token_files(index: DataFrame) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of all documents, read back from the files; nulls, repeated rows and empty tables as write_token_files() has them."""
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), folder))

@@ -9,6 +9,7 @@ to little-endian 32-bit ids, so the ids of a text are one bytes.join.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -79,7 +80,8 @@ class ChunkEncoder:
     spaced: the byte-level vocabulary, whose words keep the space before
     them; a text in which white space meets white space is then split by the
     pattern as a whole. Else the lower-case one, where white space has no id.
-    The strings of special tokens are ordinary text.
+    As in the library's default, the string of a special token gives that
+    token's id wherever it stands, and splits the text.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -87,14 +89,23 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("only added tokens that match as they stand are supported")
+        self.special = {t.content: int(i).to_bytes(4, "little") for i, t in added.items()}
+        self.at_special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         words = _Words(self.tokenizer.model)
         self.chunks = _Chunks(words, public_tokenizers.PATTERN if spaced else _LOWER, spaced)
         self.firsts = _Chunks(words, public_tokenizers.PATTERN, spaced, "")
         self.line_end = words["\n"] if spaced else b""
 
     def encode(self, text: str) -> bytes:
+        if self.at_special and any(x in text for x in self.special):
+            return b"".join(self.special.get(x) or self._plain(x) for x in self.at_special.split(text) if x)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         get = self.chunks.__getitem__
         if not self.spaced:
             return b"".join(map(get, text.replace("\n", " ").split(" ")))

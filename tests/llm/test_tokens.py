@@ -13,7 +13,7 @@ from tessera.llm.pieces import PieceModel, _encoded, encode_documents
 from tessera.llm.token_files import TokenFile, TokenFileWriter, read_token_files, write_token_files
 from tessera.llm.vocabulary import ChunkEncoder
 
-HARD = ["", " ", "  a  b ", "\x00a\n\tb", "é́ ▁x <s> </s> <unk> <0x41>", "ﬁ　x", "😀x 🤷🏽‍♀️", " lead", "trail ", "a" * 300, "ababab" * 50, "▁▁", "the" * 40 + " " * 37 + "x", "\n\n\n   \n", "日本語 " * 5, "= ==== ------", "it's WE'LL İstanbul ΟΔΟΣ", "a  b", "x<|endoftext|>y", "1234 5 ٣"]
+HARD = ["", " ", "  a  b ", "\x00a\n\tb", "é́ ▁x <s> </s> <unk> <0x41>", "ﬁ　x", "😀x 🤷🏽‍♀️", " lead", "trail ", "a" * 300, "ababab" * 50, "▁▁", "the" * 40 + " " * 37 + "x", "\n\n\n   \n", "日本語 " * 5, "= ==== ------", "it's WE'LL İstanbul ΟΔΟΣ", "a  b", "x<|endoftext|>y", "1234 5 ٣", "foo <|endoftext|> bar", "<|startoftext|><|endoftext|>", "  <|endoftext|>  a\n<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "<|endoftext|>>"]
 
 
 @pytest.fixture(scope="module")
@@ -65,7 +65,6 @@ def test_documents_in_pieces(spark, docs):
 @pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_chunks_are_the_librarys(texts, name, spaced):
     encoder, library = ChunkEncoder(P.path(name), spaced), Tokenizer.from_file(P.path(name))
-    library.encode_special_tokens = True
     for _ in range(2):
         for text in texts:
             assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
@@ -122,7 +121,6 @@ def test_pack_cuts_only_what_fits_nowhere():
 
 def test_packed_documents(spark, docs):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     texts = {d: t or "" for d, t, _ in docs.collect()}
     covered, filled = {}, {}
     for r in pack_documents(docs).collect():
@@ -144,10 +142,9 @@ def test_packed_documents(spark, docs):
 
 def test_token_files(spark, docs, tmp_path):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     got = rows(read_token_files(write_token_files(docs, f"file://{tmp_path}")))
     at = 0
-    order = sorted(((d, t or "") for d, t, _ in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    order = sorted(((d, t or "") for d, t, _ in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
     assert [g[0] for g in sorted(got, key=lambda g: g[1])] == [d for d, _ in order]
     for (d, text), (_, start, n, crc) in zip(order, sorted(got, key=lambda g: g[1])):
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
@@ -164,8 +161,14 @@ def test_file_of_sequences(tmp_path):
     writer.close()
     file = TokenFile(uri)
     assert places == list(range(0, 100, 7)) and len(file) == 13
-    assert file[1][0].tolist() == list(range(9, 17)) and file[1][1].all()
-    assert file[12][0].tolist() == [97, 98, 99, 100, 0, 0, 0, 0] and file[12][1].sum() == 4
+    assert file[1][0].tolist() == list(range(9, 17)) and all(file[1][1].to_pylist())
+    assert file[12][0].tolist() == [97, 98, 99, 100, 0, 0, 0, 0] and file[12][1].to_pylist() == [True] * 4 + [False] * 4
+    assert not file[3][0].flags.owndata
+    import pyarrow as pa
+
+    before = pa.total_allocated_bytes()
+    held = [file[i] for i in range(13)]
+    assert pa.total_allocated_bytes() == before and len(held) == 13  # views of the file alone
     assert file.span(5, 60).tolist() == list(range(6, 66))
 
 
@@ -175,3 +178,44 @@ def test_digests(spark, docs):
     for d, n, h in rows(_encoded(docs.where("doc_id < 20"), None, "doc_id long, n_tokens long, h string", made)):
         want = library.encode(HARD[d], add_bos=True, add_eos=True)
         assert (n, h) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest())
+
+
+def test_query_of_token_files(spark, docs, monkeypatch):
+    import tessera.llm.token_files as S
+
+    monkeypatch.setattr(S, "table", lambda *a: docs)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = sorted((d is not None, d or 0, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for d, t, _ in docs.collect())
+    got = rows(S.op7_token_files(spark, ""))
+    assert sorted((d is not None, d or 0, n) for d, _, n, _ in got) == want
+    at = 0
+    for _, start, n, _ in sorted(got, key=lambda g: g[1]):
+        assert start == at
+        at += n
+
+
+def test_query_of_pieces(spark, docs, monkeypatch):
+    import tessera.llm.pieces as S
+
+    monkeypatch.setattr(S, "table", lambda *a: docs)
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = []
+    for d, t, _ in docs.collect():
+        ids = library.encode(t or "", add_bos=True, add_eos=True)
+        want.append((d, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids).encode())))
+    assert sorted(rows(S.op4_sentencepiece(spark, "")), key=str) == sorted(want, key=str)
+
+
+def test_long_text_without_spaces():
+    import time
+
+    path = P.path("piece_bpe_32k.model")
+    model, library = PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(3)
+    letters = "".join(r.choice("etaoinshrdlucmfw") for _ in range(200_000))
+    for text in (letters[:20_000], "the" * 5_000 + letters[:5_000], "ab" * 10_000, "".join(r.choice("日本語中文字") for _ in range(20_000))):
+        assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == library.encode(text), text[:40]
+    began = time.perf_counter()
+    model.encode([letters])
+    assert time.perf_counter() - began < 10
