@@ -1,4 +1,18 @@
-"""Near-duplicate documents by MinHash LSH in fixed bands and exact verification (operator 2)."""
+"""Near-duplicate documents by a MinHash LSH forest and exact verification (operator 2).
+
+Each document's MinHash values are read in ``trees`` tries, ``depth`` values
+deep. Documents of a trie lie sorted by their values, so that those that
+share a prefix of k values are a run, and a pair's longest shared prefix is
+the least one between neighbours. Documents meet first at the full depth;
+then each one's prefixes are shortened until the candidates it has met are
+``recall`` of those it should meet: a pair of similarity s shares a prefix
+of k values in some trie with chance 1 - (1 - s^k)^trees, so every
+likely link met at depth k stands for 1 / chance links, and one link at the
+threshold is always supposed besides. A document among many close copies stops
+at long prefixes; one that meets nobody goes on to the depth at which even
+a pair at the threshold is met that often. A pair is a candidate if either
+one's prefix reaches it, and candidates are verified on whole shingle sets.
+"""
 
 from __future__ import annotations
 
@@ -13,26 +27,30 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_by_worker, materialize, table, text_column, with_size_checked
+from .common import group_edges, held_by_worker, materialize, table, text_column, whole_groups, with_size_checked
 from .components import connected_components
 from .vocabulary import slices
 
 WORDS, THRESHOLD = 5, 0.8
-#: Bands, their greatest length, and the wanted chance to find a pair at the threshold.
+#: Tries, their depth, and the wanted share of links that are met.
 TREES, DEPTH, RECALL = 20, 8, 0.9995
-#: Members of a bucket or class compared in one piece; larger ones are split into pairs of blocks.
-BLOCK = 512
+#: Members and shingles of a trie node that are compared in one piece; larger ones are split into pairs of parts.
+BLOCK, BLOCK_SHINGLES = 128, 1_000_000
+#: Estimates by this much below the threshold are verified as well: over six standard errors of 160 values.
+SLACK = 0.25
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # golden ratio, for mixing
+_PAIRS = 20_000  # compared at once
+
+
+def chance(similarity, k: int, trees: int):
+    """How often a pair of this similarity shares a prefix of k values in some trie."""
+    return 1 - (1 - similarity**k) ** trees
 
 
 def prefix_length(threshold: float, trees: int, longest: int, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold shares one in some tree often enough: matches begin at the
-    full depth of the tries and are shortened until the target recall is met."""
-    for k in range(longest, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
-            return k
-    return 1
+    """The longest prefix at which a pair at the threshold is met often enough; no document's prefixes need be shorter."""
+    return next((k for k in range(longest, 0, -1) if chance(threshold, k, trees) >= recall), 1)
 
 
 class _Hashes(dict):
@@ -100,31 +118,76 @@ def _least(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _paired(rows: DataFrame, keys: list[str], size: str, block: int, bins: int) -> DataFrame:
-    """Add parts (i, j) of a group to compare, each row's part, and the bin that the comparison is dealt to."""
+def _parted(rows: DataFrame) -> DataFrame:
+    """Deal the members of a node to parts, and each part to the pairs (i, j) of parts that it is compared in."""
     return (
-        rows.withColumn("parts", F.ceil(F.col(size) / block).cast("int"))
+        rows.withColumn("parts", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingled") / BLOCK_SHINGLES)).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("i", F.least("part", "other"))
         .withColumn("j", F.greatest("part", "other"))
-        .withColumn("bin", F.pmod(F.xxhash64(*keys, "i", "j"), F.lit(bins)))
-        .drop("parts", "other")
+        .drop("parts", "other", "members", "shingled")
     )
 
 
+NODE = ["tree", "prefix", "i", "j"]
+
+
+def _dealt(rows: DataFrame, pieces: int) -> DataFrame:
+    """Pieces of nodes together, each sorted as the trie is."""
+    return rows.repartition(pieces, *NODE).sortWithinPartitions(*NODE, "turn")
+
+
+def _met(sign: np.ndarray, size: np.ndarray, part: np.ndarray, tree: int, across: bool, trees: int, floor: int, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, other row, longest prefix they share in any trie, estimated similarity) of the pairs that this node is to judge.
+
+    Each pair belongs to the first trie in which it shares ``floor`` values;
+    pairs whose sizes or estimates rule the threshold out are left out.
+    """
+    n = len(sign)
+    depth = sign.shape[1] // trees
+    values = sign.reshape(n, trees, depth)
+    # the floor prefixes of the earlier tries, hashed
+    mult = np.random.default_rng(2).integers(1, 1 << 62, floor, dtype=np.uint64) | np.uint64(1)
+    early = ((values[:, :tree, :floor].astype(np.uint64) + np.uint64(1)) * mult).sum(axis=2, dtype=np.uint64)
+    rows_at_once = max(1, _PAIRS // n)
+    for a in range(0, n, rows_at_once):
+        r, c = np.nonzero(np.arange(n)[None, :] > np.arange(a, min(a + rows_at_once, n))[:, None])
+        r = r + a
+        keep = (size[r] >= threshold * size[c]) & (size[c] >= threshold * size[r])
+        if across:
+            keep &= part[r] != part[c]
+        r, c = r[keep], c[keep]
+        for t in range(tree):
+            if not len(r):
+                break
+            new = early[r, t] != early[c, t]
+            r, c = r[new], c[new]
+        if not len(r):
+            continue
+        same = sign[r] == sign[c]
+        like = same.mean(axis=1)
+        keep = like >= threshold - SLACK
+        r, c, like, same = r[keep], c[keep], like[keep], same[keep]
+        longest = np.logical_and.accumulate(same.reshape(len(r), trees, depth), axis=2).sum(axis=2).max(axis=1, initial=0)
+        yield r, c, longest, like
+
+
 def near_duplicate_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links: one row per doc_id.
 
     class_id is the smallest doc_id reachable by links of Jaccard similarity
     >= threshold; n_links counts the other documents linked directly, copies
-    included. Documents without words link with nothing. Rows of one doc_id
-    count as one document (the one of the least shingle digest); null
-    doc_ids take no part. Equal shingle sets are one row with a weight, so
-    copies, however many, are never compared with each other.
+    included. Null texts are empty; documents without words link with
+    nothing. Rows of one doc_id count as one document (the one of the least
+    shingle digest); null doc_ids take no part, no rows give none, other
+    columns are ignored whatever their names. Equal shingle sets are one row
+    with a weight, so copies, however many, are never compared with each
+    other. Long texts count whole; nodes are split by their shingles, too.
     """
     spark = docs.sparkSession
-    length = prefix_length(threshold, trees, depth, recall)
+    floor = prefix_length(threshold, trees, depth, recall)
+    levels = list(range(depth, floor - 1, -1))
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +195,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = WORDS, threshold: float
             texts = batch["text"].tolist()
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], words)
-                sign = signatures(sets, trees * length)
+                sign = signatures(sets, trees * depth)
                 yield pd.DataFrame({
                     "doc_id": batch["doc_id"].iloc[a:b], "n": [len(s) for s in sets],
                     "digest": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "signature": [x.tobytes() for x in sign],
@@ -144,49 +207,50 @@ def near_duplicate_classes(docs: DataFrame, words: int = WORDS, threshold: float
     classes = materialize(known.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "equal-sets")
     reps = described.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("d"), "weight"), "doc_id").where("d = digest").dropDuplicates(["doc_id"])
     reps = materialize(reps.select(F.col("doc_id").alias("rep"), "n", "weight", "signature"), "representatives")
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = reps.count()
-
-    # the forest: prefixes of all trees that several representatives share
-    width = 4 * length
-    prefixes = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(F.substring("signature", 1 + t * width, width)) for t in range(trees)])).alias("tree", "prefix"))
-    shared = materialize(prefixes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared-prefixes")
-    buckets = prefixes.join(shared, ["tree", "prefix"]).join(reps.select("rep", "signature", "n"), "rep")
-    bins = max(shuffles, ceil(n * trees / 100_000))
-    buckets = _paired(buckets, ["tree", "prefix"], "members", BLOCK, bins)
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        """Within a bucket, the least member that each one reaches by signatures that agree in at least threshold - 0.25."""
-        out = [pd.DataFrame({"a": [], "b": []}, dtype=np.int64)]
-        for (_, _, i, j), g in rows.groupby(["tree", "prefix", "i", "j"], sort=False):
-            ids, part, size = g["rep"].to_numpy(np.int64), g["part"].to_numpy(), g["n"].to_numpy(np.float64)
-            sign = np.frombuffer(b"".join(g["signature"]), np.uint32).reshape(len(g), -1)
-            links = (size[:, None] >= threshold * size) & (size >= threshold * size[:, None])
-            if len(g) == 2:
-                links &= (sign[0] == sign[1]).mean() >= threshold - 0.25
-            else:
-                same = np.zeros(links.shape, np.int32)
-                for c in sign.T:
-                    same += c[:, None] == c
-                links &= same >= (threshold - 0.25) * sign.shape[1]
-            if i != j:
-                links &= part[:, None] != part
-            np.fill_diagonal(links, False)
-            some = links.any(axis=1)
-            if some.any():
-                low = _least(links[np.ix_(some, some)], ids[some])
-                keep = low != ids[some]
-                out.append(pd.DataFrame({"a": ids[some][keep], "b": low[keep]}))
-        return pd.concat(out)
-
-    met = materialize(buckets.groupBy("bin").applyInPandas(meet, "a long, b long").distinct(), "candidates")
-    families = materialize(connected_components(met), "families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
-
-    # exact verification within the families, on the whole shingle sets
-    wanted = families.join(reps.select("rep", "weight"), "rep").join(classes.select("rep", "digest"), "rep")
-    sizes = materialize(families.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family-sizes")
-    wanted = materialize(wanted.join(with_size_checked(sizes), "family"), "members")
-    found = plain.join(with_size_checked(wanted.withColumnRenamed("rep", "doc_id")), "doc_id")
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(n * trees / 200_000))
+
+    # the tries below their nodes at the floor: those that several documents share
+    prefixes = reps.select("rep", "n", F.posexplode(F.array(*[F.xxhash64(F.substring("signature", 1 + 4 * depth * t, 4 * floor)) for t in range(trees)])).alias("tree", "prefix"))
+    shared = prefixes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingled")).where("members > 1")
+    shared = materialize(shared, "shared-prefixes")
+    nodes = prefixes.drop("n").join(shared, ["tree", "prefix"]).join(reps.select("rep", "signature", "n"), "rep")
+    turn = F.substring("signature", 1 + 4 * depth * F.col("tree"), 4 * depth)
+    nodes = _dealt(_parted(nodes).withColumn("turn", turn), pieces).drop("turn")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Which members of each node meet a candidate there, and how many likely links each depth finds and misses."""
+        counts = [f"{x}_{k}" for x in ("found", "missed") for k in levels]
+        for rows in whole_groups(batches, NODE):
+            sign = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), -1)
+            size, part, tree = rows["n"].to_numpy(np.float64), rows["part"].to_numpy(), rows["tree"].to_numpy()
+            across = (rows["i"] != rows["j"]).to_numpy()
+            hit, sums = np.zeros(len(rows), bool), np.zeros((len(rows), 2 * len(levels)))
+            edges = group_edges(rows, NODE)
+            for a, b in zip(edges[:-1], edges[1:]):
+                for r, c, longest, like in _met(sign[a:b], size[a:b], part[a:b], int(tree[a]), bool(across[a]), trees, floor, threshold):
+                    likely = like >= threshold
+                    for x in (r, c):
+                        hit[a + x] = True
+                        for m, k in enumerate(levels):
+                            some = likely & (longest >= k)
+                            sums[a:b, m] += np.bincount(x[some], minlength=b - a)
+                            sums[a:b, len(levels) + m] += np.bincount(x[some], 1 / chance(like[some], k, trees) - 1, b - a)
+            if hit.any():
+                yield pd.concat([rows.loc[hit, [*NODE, "part", "rep"]].reset_index(drop=True), pd.DataFrame(sums[hit], columns=counts)], axis=1)
+
+    counted = ", ".join(f"{x}_{k} double" for x in ("found", "missed") for k in levels)
+    met = materialize(nodes.mapInPandas(meet, f"tree int, prefix long, i int, j int, part int, rep long, {counted}"), "met")
+    # each document's depth: the longest prefixes at which the links it misses are few among those it should meet
+    sums = met.groupBy("rep").agg(*[F.sum(f"{x}_{k}").alias(f"{x}_{k}") for x in ("found", "missed") for k in levels])
+    reach = F.lit(floor)
+    for k in reversed(levels[:-1] if levels[-1] == floor else levels):
+        found, missed = F.col(f"found_{k}") + chance(threshold, k, trees), F.col(f"missed_{k}") + 1 - chance(threshold, k, trees)
+        reach = F.when(found >= recall * (found + missed), F.lit(k)).otherwise(reach)
+    members = materialize(sums.select("rep", reach.alias("reach")).join(reps.select("rep", "weight", "signature"), "rep").join(classes.select("rep", "digest"), "rep"), "members")
+
+    # exact verification of the candidates, on the whole shingle sets
+    found = plain.join(with_size_checked(members.select(F.col("rep").alias("doc_id"), F.col("digest"))), "doc_id")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,31 +258,36 @@ def near_duplicate_classes(docs: DataFrame, words: int = WORDS, threshold: float
             for a, b in slices(texts):
                 some, sets = batch.iloc[a:b], shingle_sets(texts[a:b], words)
                 fits = [blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, some["digest"])]
-                out = some[["doc_id", "family", "members", "weight"]].rename(columns={"doc_id": "rep"}).assign(shingles=[s.tobytes() for s in sets])
-                yield out[fits]
-
-    bins = max(shuffles, ceil(n / 20_000))
-    sets = found.select("doc_id", "text", "family", "members", "weight", "digest").mapInPandas(gather, "rep long, family long, members long, weight long, shingles binary")
-    sets = _paired(sets, ["family"], "members", BLOCK, bins)
-
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"rep": [], "links": [], "root": []}, dtype=np.int64)]
-        for (_, i, j), g in rows.groupby(["family", "i", "j"], sort=False):
-            g = g.drop_duplicates("rep")
-            ids, weight, part = g["rep"].to_numpy(np.int64), g["weight"].to_numpy(np.int64), g["part"].to_numpy()
-            held = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
-            size = np.array([len(s) for s in held])
-            links = similar(held, size, threshold)
-            if i != j:
-                links &= part[:, None] != part
-            np.fill_diagonal(links, False)
-            some = links.any(axis=1)
-            if some.any():
-                links, ids, weight = links[np.ix_(some, some)], ids[some], weight[some]
-                out.append(pd.DataFrame({"rep": ids, "links": links @ weight, "root": _least(links, ids)}))
-        return pd.concat(out)
-
-    verified = materialize(sets.groupBy("bin").applyInPandas(verify, "rep long, links long, root long"), "verified")
+                yield pd.DataFrame({"rep": some["doc_id"], "shingles": [s.tobytes() for s in sets]})[fits]
+
+    sets = found.select("doc_id", "text", "digest").mapInPandas(gather, "rep long, shingles binary").dropDuplicates(["rep"])
+    sets = materialize(sets.join(members.drop("digest"), "rep"), "shingle-sets")
+    candidates = met.select(*NODE, "part", "rep").join(sets, "rep").withColumn("turn", F.lit(0))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_groups(batches, NODE):
+            out = []
+            sign = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), -1)
+            ids, weight, part, reach = (rows[x].to_numpy(np.int64) for x in ("rep", "weight", "part", "reach"))
+            held = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+            size = np.array([len(x) for x in held])
+            edges = group_edges(rows, NODE)
+            for a, b in zip(edges[:-1], edges[1:]):
+                wanted = np.zeros((b - a, b - a), bool)
+                across = rows["i"].iat[a] != rows["j"].iat[a]
+                for r, c, longest, _ in _met(sign[a:b], size[a:b], part[a:b], int(rows["tree"].iat[a]), bool(across), trees, floor, threshold):
+                    keep = longest >= np.minimum(reach[a:b][r], reach[a:b][c])
+                    wanted[r[keep], c[keep]] = True
+                wanted |= wanted.T
+                some = np.flatnonzero(wanted.any(axis=1))
+                if len(some):
+                    links = wanted[np.ix_(some, some)] & similar([held[a + x] for x in some], size[a + some], threshold)
+                    own = ids[a + some]
+                    out.append(pd.DataFrame({"rep": own, "links": links @ weight[a + some], "root": _least(links, own)})[links.any(axis=1)])
+            if out:
+                yield pd.concat(out)
+
+    verified = materialize(_dealt(candidates, pieces).drop("turn").mapInPandas(verify, "rep long, links long, root long"), "verified")
     linked = connected_components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     told = classes.join(counts, "rep", "left").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -247,4 +316,5 @@ def similar(sets: list[np.ndarray], size: np.ndarray, threshold: float) -> np.nd
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links of all documents; nulls, ties, long texts and empty tables as near_duplicate_classes() has them."""
     return near_duplicate_classes(table(spark, sf_dir, "documents"))

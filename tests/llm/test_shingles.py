@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import tessera.llm.shingles as S
@@ -44,7 +45,7 @@ def made():
     return rows + [(300, None), (301, ""), (302, "?!"), (303, "Two words"), (304, "two WORDS."), (305, "one"), (306, rows[0][1].upper()), (307, "long " * 5000), (308, "long " * 5000)]
 
 
-@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("block", [128, 8])
 def test_same_as_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(S, "BLOCK", block)
     rows = made()
@@ -56,6 +57,51 @@ def test_empty(spark):
     assert S.near_duplicate_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_a_family_larger_than_a_part(spark, monkeypatch):
+    """Depths are shortened by what each document has met; close copies that stop early lose no link here."""
+    monkeypatch.setattr(S, "BLOCK", 32)
+    r = random.Random(7)
+    base = [f"w{r.randrange(500)}" for _ in range(300)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randrange(1, 3) if i % 3 else r.randrange(5)):
+            w[r.randrange(300)] = f"new{r.randrange(9999)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"u{r.randrange(900)}" for _ in range(80))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, want = sorted(map(tuple, S.near_duplicate_classes(docs).collect())), brute(rows)
+    assert sum(x[2] for x in got) >= 0.999 * sum(x[2] for x in want) > 10_000
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+
+
+def test_pairs_are_met_once():
+    r = random.Random(5)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(120)] = "x"
+        texts.append(" ".join(w))
+    sets = S.shingle_sets(texts)
+    sign, size = S.signatures(sets, 160), np.array([len(x) for x in sets])
+    values = sign.reshape(40, 20, 8)
+    met = {}
+    for t in range(20):
+        nodes = {}
+        for i in range(40):
+            nodes.setdefault(values[i, t, :5].tobytes(), []).append(i)
+        for rows in map(np.array, nodes.values()):
+            for a, b, longest, like in S._met(sign[rows], size[rows], rows * 0, t, False, 20, 5, 0.8):
+                for i, j, k, x in zip(rows[a].tolist(), rows[b].tolist(), longest.tolist(), like.tolist()):
+                    assert (i, j) not in met
+                    met[i, j] = k
+                    assert x == (sign[i] == sign[j]).mean()
+                    assert k == max(next((m for m in range(8) if u[m] != v[m]), 8) for u, v in zip(values[i], values[j]))
+    assert len(met) > 300
+
+
 def test_prefix_is_shortened_to_the_recall():
     assert S.prefix_length(0.8, 20, 8, 0.9995) == 5
     assert S.prefix_length(0.8, 20, 8, 0.5) == 8
