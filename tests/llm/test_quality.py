@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import tessera.llm.quality as S
 
@@ -25,39 +26,74 @@ def corpus(n=400):
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, score string"
 
 
-def test_held_out_accuracy_and_filter(spark):
+def test_held_out_accuracy_and_filter(spark, monkeypatch):
     rows, marks = corpus()
     docs = spark.createDataFrame(rows + [(1000, None, None, None, None, None), (None, "ban dur", "news", "en", 7, None), (3, rows[3][1], "news", "en", 5, "x"), (1001, "ban dur " * 50_000, "news", "en", 1, "x")], DOCS)
     labels = spark.createDataFrame([*marks, (None, 1, 0), (5, None, None), (3, 1, 0)], "doc_id long, quality int, toxic int")
-    scorer = S.fit_quality(docs, labels)
-    got = S.score_quality(docs, scorer).collect()
+    scorer, features = S.fit_quality(docs, labels, confident=0.9)
+    assert sum(n for r in scorer.taught for n in r["text"]) > 0 and sum(n for r in scorer.taught for n in r["metadata"]) > 0  # both ways
+    assert (scorer.weights[:2] >= 0).all()
+    got = S.score_quality(features, scorer).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     told = {m[0] for m in marks}
     unseen = [(r.score >= 0.5) == (r.doc_id % 5 != 0 and r.doc_id % 7 != 1) for r in got if r.doc_id is not None and r.doc_id < 400 and r.doc_id not in told]
     assert np.mean(unseen) > 0.95
+    monkeypatch.setattr(S, "CONFIDENT", 0.9)
+    monkeypatch.setattr(S, "fit_quality", lambda *a: (scorer, features))
     kept = S.filter_quality(docs, labels)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.score >= 0.5)
-    assert S.score_quality(docs.limit(0), scorer).collect() == []
+    assert S.score_quality(features.limit(0), scorer).collect() == []
+    monkeypatch.setattr(S, "table", lambda spark, folder, name: docs if name == "documents" else labels)
+    assert sorted((str(r.doc_id), r.score, r.accepted) for r in S.op8_quality(spark, "").collect()) == sorted((str(r.doc_id), r.score, r.score >= 0.5) for r in got)
 
 
-def test_without_labels_everything_is_accepted(spark):
+@pytest.mark.parametrize("marks, score", [([], 0.5), ([(1, 1, 0)], 2 / 3), ([(1, 0, 0), (2, 0, 0)], 0.25)])
+def test_labels_of_one_class_teach_nothing(spark, marks, score):
+    """Every document has the smoothed share of accepted labels, and a warning is given."""
     rows, _ = corpus(20)
     docs = spark.createDataFrame(rows, DOCS)
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert S.filter_quality(docs, labels).count() == 20
-    assert S.filter_quality(docs.limit(0), labels).count() == 0
-    assert S.filter_quality(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).count() == 20
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="both classes"):
+        scorer, features = S.fit_quality(docs, labels)
+    assert [round(r.score, 9) for r in S.score_quality(features, scorer).collect()] == [round(score, 9)] * 20
+    with pytest.warns(UserWarning):
+        assert S.filter_quality(docs, labels).count() == (20 if score >= 0.5 else 0)
+    with pytest.warns(UserWarning):
+        assert S.filter_quality(docs.limit(0), labels).count() == 0
 
 
-def test_views_teach_each_other():
+def test_lessons_are_the_surest_of_all(spark):
+    """Against brute force: each view's lessons are its best documents of the whole pool, beyond its level."""
+    rows, marks = corpus(600)
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    scorer, features = S.fit_quality(docs, labels, rounds=0)
+    scorer.sure = {k: 1.0 for k in scorer.sure}
+    free = features.where("doc_id % 2 = 0").repartition(5)
+    got = S._taught(scorer, free, {0: 7, 1: 30})
+    pool = free.toPandas()
+    odds = scorer.odds(*S._matrices(scorer, pool))
+    for v, name in enumerate(S.VIEWS):
+        for y, n in ((0, 7), (1, 30)):
+            mine = odds[:, v] if y else -odds[:, v]
+            best = sorted((x for x in mine.round(9) if x >= 1.0), reverse=True)[:n]
+            some = got[name][got[name]["y"] == y]
+            assert sorted(some["sure"].round(9), reverse=True) == pytest.approx(best, abs=1e-6) and some["doc_id"].is_unique
+
+
+def test_level():
+    odds, right = np.array([3.0, 2.0, 2.0, 1.0, 0.5]), np.array([True, True, True, False, True])
+    assert S._level(odds, right, 0.7) == 2.0 and S._level(odds, right, 0.9) == np.inf and S._level(odds, right, 0.4) == 0.5
+
+
+def test_fit_is_the_least_loss():
+    """Against plain gradient descent, and with weights kept from being negative."""
     r = np.random.default_rng(0)
-    y = r.integers(0, 2, 600)
-    # the first view is clear; the second has few labelled rows of its own and learns from the first
-    a, b = y[:, None] * 4 + r.standard_normal((600, 3)), y[:, None] * 1.5 + r.standard_normal((600, 8))
-    first, second, weights = S.co_train((a[:40], b[:40]), y[:40], (a[40:400], b[40:400]), (a[400:500], b[400:500]), y[400:500])
-    alone = S.View().fit(b[:40], y[:40])
-    accuracy = lambda m: ((m.logit(b[500:]) > 0) == (y[500:] == 1)).mean()
-    assert accuracy(second) >= accuracy(alone)
-    both = np.column_stack([first.logit(a[500:]), second.logit(b[500:])])
-    assert ((np.clip(both, -10, 10) @ weights[:2] + weights[2] > 0) == (y[500:] == 1)).mean() > 0.97
+    x = r.standard_normal((300, 3))
+    y = (x[:, 0] - x[:, 1] + r.standard_normal(300) > 0).astype(float)
+    w = np.zeros(4)
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(x @ w[:3] + w[3])))
+        w -= 0.005 * (np.append(x.T @ (p - y), (p - y).sum()) + np.append(w[:3], 0) * 1.0)
+    assert np.allclose(S.fit_logistic(x, y, ridge=1.0, steps=500), w, atol=1e-3)
+    assert S.fit_logistic(x, y, ridge=1.0, steps=500, least=0.0)[:3].min() == 0.0
