@@ -14,6 +14,7 @@ def vectors(spark):
     rows += [(2000 + i, base[0], 0) for i in range(300)] + [(3000 + i, 3 * base[1], 1) for i in range(5)] + [(3100, base[1], 2), (3101, base[1], None)]
     rows = [(a, [float(np.float32(v)) for v in x], label) for a, x, label in rows]
     rows += [(4000, None, 1), (4001, [0.0] * 32, 1), (4002, [float("nan")] * 32, 1), (4003, [None] * 32, 1), (4004, [float("inf")] * 32, 1), (4005, [], 1), (4006, [1.0, 2.0], 1)]
+    rows += [(5000, [3.0, 4.0, 0.0], 1), (5001, [6.0, 8.0, 0.0], 1), (5002, [3.0, 4.01, 0.0], 1), (5003, [0.0, 0.0, 1.0], 1)]  # another length
     return rows
 
 
@@ -28,7 +29,7 @@ def usable(rows):
     return [(a, np.array(x), label) for a, x, label in rows if a < 4000]
 
 
-@pytest.mark.parametrize("block", [1024, 64])
+@pytest.mark.parametrize("block", [512, 64])
 def test_near_duplicates(spark, vectors, block):
     got = {r.vec_id: r for r in near_duplicates(frame(spark, vectors + vectors[:1]), block=block).collect()}
     good = [x for x in usable(vectors) if x[2] is not None]
@@ -45,6 +46,7 @@ def test_near_duplicates(spark, vectors, block):
     assert np.mean([got[i].component_id == c for i, c in zip(ids.tolist(), low.tolist())]) >= 0.99
     for i in (3101, *range(4000, 4007)):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert [(got[i].n_links, got[i].component_id) for i in range(5000, 5004)] == [(2, 5000), (2, 5000), (2, 5000), (0, 5003)]
     assert set(got) == {a for a, _, _ in vectors}
 
 
@@ -64,7 +66,7 @@ def test_group_of_a_third_of_the_rows(spark):
 
 def test_no_vectors(spark, vectors):
     assert near_duplicates(frame(spark, [])).collect() == []
-    assert [tuple(r) for r in near_duplicates(frame(spark, vectors[-3:-2])).collect()] == [(4004, 0, 4004, True)]
+    assert [tuple(r) for r in near_duplicates(frame(spark, [x for x in vectors if x[0] == 4004])).collect()] == [(4004, 0, 4004, True)]
     empty = frame(spark, [])
     assert nearest(empty, empty).collect() == []
 
@@ -72,7 +74,7 @@ def test_no_vectors(spark, vectors):
 @pytest.mark.parametrize("rows_per_group", [16_384, 100])
 def test_nearest(spark, vectors, rows_per_group):
     df = frame(spark, vectors)
-    got = nearest(df, df.where("vec_id % 20 = 0"), recall=0.99, rows_per_group=rows_per_group, queries_per_group=30).toPandas().sort_values(["query_id", "rank"])
+    got = nearest(df, df.where("vec_id % 20 = 0 and vec_id < 4000"), recall=0.99, rows_per_group=rows_per_group, queries_per_group=30).toPandas().sort_values(["query_id", "rank"])
     good = usable(vectors)
     ids, x = np.array([a for a, _, _ in good]), np.stack([b for _, b, _ in good])
     hit = total = 0
@@ -83,6 +85,8 @@ def test_nearest(spark, vectors, rows_per_group):
         assert mine["rank"].tolist() == list(range(1, 21)) and len(set(mine.vec_id)) == 20
         assert np.allclose(mine.score, [score[np.flatnonzero(ids == v)[0]] for v in mine.vec_id], rtol=1e-12)
         assert (np.diff(mine.score) <= 0).all()
+        ties = mine[mine.score.diff() == 0]
+        assert (mine.vec_id.diff()[ties.index] > 0).all()
         hit += len(set(mine.vec_id) & set(ids[order].tolist()))
         total += 20
     assert hit >= 0.95 * total
@@ -93,6 +97,34 @@ def test_few_candidates(spark):
     assert [tuple(r) for r in nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 0.5)]
 
 
+def test_equal_scores_go_to_the_smaller_id(spark):
+    rows = [(0, [1.0, 0.0], 1)] + [(i, [0.5, float(i % 3)], 1) for i in range(60, 0, -1)]
+    df = frame(spark, rows)
+    got = nearest(df, df.where("vec_id = 0"), k=7).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, i, i, 0.5) for i in range(1, 8)]
+
+
+def test_each_length_is_answered_by_its_own(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, r.standard_normal(8 if i % 3 else 5).tolist(), 1) for i in range(300)]
+    df, few = frame(spark, rows), frame(spark, [(1000, [1.0] * 5, 1), (1001, [1.0] * 7, 1), (0, rows[0][1], 1)])
+    got = nearest(df, few, recall=1.0).toPandas()
+    assert sorted(got["query_id"].unique()) == [0, 1000] and (got.groupby("query_id").size() == 20).all() and (got.vec_id % 3 == 0).all()
+    score = {i: float(np.sum(x)) for i, x, _ in rows if i % 3 == 0}
+    best = sorted(score, key=lambda i: (-score[i], i))[:20]
+    assert got[got.query_id == 1000].sort_values("rank").vec_id.tolist() == best
+
+
+def test_all_that_are_asked_for_come_back(spark):
+    """Small lists: probing goes on until they hold enough rows."""
+    r = np.random.default_rng(4)
+    centres = 50 * r.standard_normal((40, 6))
+    rows = [(i, (centres[i % 40] + r.standard_normal(6)).tolist(), 1) for i in range(800)]
+    df = frame(spark, rows)
+    got = nearest(df, df.where("vec_id < 40"), k=60, recall=0.01).toPandas()
+    assert (got.groupby("query_id").size() == 60).all()
+
+
 def test_scan_abandons_only_what_cannot_reach():
     r = np.random.default_rng(1)
     q, x = r.standard_normal((20, 64)), r.standard_normal((400, 64))
