@@ -72,6 +72,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Like materialize(), with the rows of a key in one of so many buckets: grouping the result by the key needs no shuffle."""
+    spark = df.sparkSession
+    ship(spark)
+    name = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{name}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.repartition(buckets, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _written.append(path)
+    out = spark.table(name)
+    out.schema  # resolved: the files stay, the catalog's entry isn't needed any more
+    spark.sql(f"drop table {name}")
+    return out
+
+
 _written: list[str] = []
 
 

@@ -9,11 +9,16 @@ place; they are dealt out so that equal windows meet:
    of documents send each distinct key once to the key's bucket, which
    answers which keys another block has as well.
 2. Blocks send the bytes of the runs with such keys, each distinct string
-   once. The bucket sorts the window suffixes; the suffixes whose previous
-   smaller position in document order lies at a longest common prefix of at
-   least ``window`` are repeats.
+   once. The bucket sorts the suffixes of all strings of a key and works out
+   their longest previous factors (suffix order, common prefixes of
+   neighbours, previous and next smaller document); where one is at least
+   ``window`` long, the window is a repeat. A string that a smaller document
+   has whole needs no sort: its suffixes' factors reach its end.
 3. Blocks take the answers and cut the texts.
 
+Blocks are dealt by row, whatever the ids, and written once, in buckets, so
+that all three steps read them where they lie.
+
 Whole copies of a document are found first by digest, so that copies send
 nothing. A key of very many documents is marked hot in step 1; its runs are
 sent window by window under the window's own hash, so that the edges of a
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
-from .common import materialize, ragged, ship, table, text_column
+from .common import bucketed, materialize, ragged, ship, table, text_column
 
 WINDOW, ANCHOR = 50, 16
 #: Text of one block; documents longer than that make larger blocks.
@@ -97,33 +102,45 @@ def _runs(raw: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.nda
     return least[first], first, length
 
 
-def previous_smaller(value: np.ndarray) -> np.ndarray:
-    """For each place the nearest place before it with a smaller value, or -1, by pointer jumping."""
-    at = np.arange(len(value)) - 1
+def nearest_smaller(value: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest place before it with a smaller value, or -1, and the least ``common`` on the way to it, by pointer jumping.
+
+    common[i] belongs to the step from i - 1 to i.
+    """
+    at, least = np.arange(len(value)) - 1, common.copy()
     todo = np.flatnonzero(at >= 0)
     while len(todo):
         todo = todo[value[at[todo]] >= value[todo]]
-        at[todo] = at[at[todo]]
+        over = at[todo]
+        least[todo] = np.minimum(least[todo], least[over])
+        at[todo] = at[over]
         todo = todo[at[todo] >= 0]
-    return at
+    least[at < 0] = 0
+    return at, least
 
 
-def repeated(windows: np.ndarray, document: np.ndarray) -> np.ndarray:
-    """Which of these equal-length strings (S dtype) has a factor as long in a smaller document.
+def longest_previous_factor(suffixes: np.ndarray, length: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """How much of each suffix, from its start, also starts in a smaller document.
 
-    Suffixes are sorted; equal ones by document. The common prefix of
-    neighbours is whole or shorter than the string, so an interval of whole
-    ones ends where neighbours differ; a longest previous factor of full
-    length lies at the previous smaller position (the next smaller one is
-    never in the interval), provided that is within the interval.
+    suffixes is a matrix of bytes, a suffix a row, of which ``length`` count.
+    Rows are sorted; neighbours' longest common prefixes are taken; and as a
+    prefix that two suffixes share is the least one between them, the longest
+    factor of a smaller document lies at the nearest place of such a document
+    before or after in suffix order.
     """
-    order = np.argsort(document, kind="stable")
-    order = order[np.argsort(windows[order], kind="stable")]
-    text, doc = windows[order], document[order]
-    interval = np.concatenate([[0], np.cumsum(text[1:] != text[:-1])])
-    before = previous_smaller(doc)
-    out = np.zeros(len(doc), bool)
-    out[order] = (before >= 0) & (interval[before] == interval)
+    n, width = suffixes.shape
+    inside = np.arange(width) < length[:, None]
+    padded = np.where(inside, suffixes, 0)
+    order = np.lexsort((length, np.ascontiguousarray(padded).view(f"S{width}").reshape(-1)))
+    text, doc, size = suffixes[order], document[order], length[order]
+    common = np.zeros(n, np.int64)
+    differs = text[1:] != text[:-1]
+    common[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    common[1:] = np.minimum(common[1:], np.minimum(size[1:], size[:-1]))
+    before = nearest_smaller(doc, common)[1]
+    after = nearest_smaller(doc[::-1], np.append(0, common[:0:-1]))[1][::-1]
+    out = np.empty(n, np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -174,19 +191,20 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
     """doc_id, what make(texts as bytes, starts, ends) gives for the spans to remove, and the columns to carry.
 
     Null texts are empty. Rows of one doc_id remove nothing from each other;
-    a null doc_id counts as larger than all others.
+    a null doc_id counts as larger than all others. Repeated rows come each;
+    no rows give none; texts are taken whole, however long; columns that are
+    not carried are ignored.
     """
     spark = docs.sparkSession
     # pandas would turn ids beside nulls into floating point
     doc_id = F.col("doc_id").cast("long")
     own = [F.coalesce(doc_id, F.lit(_NULL_ID)).alias("key"), doc_id.isNull().alias("no_id"), text_column().alias("text")]
-    plain = docs.select(*own)
-    size = plain.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
+    size = docs.agg(F.sum(F.octet_length(text_column())).alias("n")).collect()[0]["n"] or 0
     blocks = max(LEAST_BLOCKS, ceil(size / BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    dealt = plain.withColumn("block", block)
     inner = [f"carried_{i}" for i in range(len(carry))]  # carried columns may have the names used here
-    whole = docs.select(*own, *[F.col(f"`{x}`").alias(y) for x, y in zip(carry, inner)]).withColumn("block", block)
+    whole = docs.select(*own, *[F.col(f"`{x}`").alias(y) for x, y in zip(carry, inner)])
+    whole = bucketed(whole.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "block", blocks, "blocks")
+    dealt = whole.select("key", "no_id", "text", "block")
 
     # the first document of each text that occurs again, told to the blocks that hold it
     held = dealt.groupBy(F.md5(F.col("text").cast("binary")).alias("digest"), "block").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -312,10 +330,12 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
             """Suffix-sort the windows of whole groups of strings."""
             reps = np.concatenate(pending)
             n = length[reps]
-            start = ragged(begin[reps], n)
+            start, left = ragged(begin[reps], n), ragged(np.zeros(len(reps), np.int64), n)
+            left = np.repeat(size[reps], n) - left
+            width = int(left.max())
             flat = np.frombuffer(raw, np.uint8)
-            text = flat[start[:, None] + np.arange(window)].reshape(-1).view(f"S{window}")
-            gone = repeated(text, np.repeat(doc[reps], n))
+            rows = flat[np.minimum(start[:, None] + np.arange(width), len(flat) - 1)]
+            gone = longest_previous_factor(rows, left, np.repeat(doc[reps], n)) >= window
             mask_rows.append(reps)
             mask_bits.append(np.split(gone, np.cumsum(n)[:-1]))
 
@@ -339,7 +359,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
             if len(reps) > 1:
                 pending.append(np.array(reps))
                 held += int(length[reps].sum())
-                if held > 400_000:
+                if held > 200_000:
                     resolve()
                     pending, held = [], 0
         if pending:
@@ -447,6 +467,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of documents; nulls, ties, long texts and empty tables as repeated_substrings() has them."""
     def digest(texts: list[bytes], starts: list[np.ndarray], ends: list[np.ndarray]) -> dict[str, list]:
         kept = [kept_bytes(*x) for x in zip(texts, starts, ends)]
         sizes = list(map(len, texts))

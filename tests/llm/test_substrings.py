@@ -76,11 +76,34 @@ def test_long_runs_and_stretches():
     assert S.window_runs(b"short", 50, 16)[0].size == 0
 
 
-def test_previous_smaller():
+def test_nearest_smaller():
     r = np.random.default_rng(0)
     for v in (r.integers(0, 50, 300), np.arange(300), np.arange(300)[::-1], np.zeros(300, int)):
+        common = r.integers(0, 9, 300)
+        at, least = S.nearest_smaller(v, common)
         want = [next((j for j in range(i - 1, -1, -1) if v[j] < v[i]), -1) for i in range(len(v))]
-        assert S.previous_smaller(v).tolist() == want
+        assert at.tolist() == want
+        assert least.tolist() == [0 if j < 0 else common[j + 1 : i + 1].min() for i, j in enumerate(want)]
+
+
+def test_longest_previous_factor():
+    r = random.Random(6)
+    for _ in range(30):
+        texts = [bytes(r.choice(b"ab\0") for _ in range(r.randrange(1, 9))) for _ in range(60)]
+        doc = np.array([r.randrange(12) for _ in texts])
+        rows = np.array([list(t.ljust(8, b"x")) for t in texts], np.uint8)
+        got = S.longest_previous_factor(rows, np.array([len(t) for t in texts]), doc)
+        for i, t in enumerate(texts):
+            same = [next((k for k in range(min(len(t), len(u))) if t[k] != u[k]), min(len(t), len(u))) for j, u in enumerate(texts) if doc[j] < doc[i]]
+            assert got[i] == max(same, default=0)
+
+
+def test_blocks_are_read_where_they_lie(spark):
+    from tessera.llm.common import bucketed
+
+    rows = bucketed(spark.createDataFrame([(i % 7, i) for i in range(100)], "block int, x int"), "block", 5, "some-blocks")
+    grouped = rows.groupBy("block").applyInPandas(lambda g: g, rows.schema)
+    assert grouped.count() == 100 and "Exchange hashpartitioning" not in grouped._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rolling_hash_is_by_content():
