@@ -243,11 +243,11 @@ def _taught(scorer: Scorer, free: DataFrame, most: dict[int, int]) -> dict[str,
 
     got = free.mapInPandas(pick, f"{FEATURES}, view string, y int, sure double").withColumn("tie", F.xxhash64("doc_id"))
     limit = F.when(F.col("y") == 1, most[1]).otherwise(most[0])
-    for keys in (["view", "y", F.pmod("tie", F.lit(64))], ["view", "y"]):  # the best of parts, then of all
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("sure"), "tie", "doc_id"))
-        got = got.withColumn("rank", rank).where(F.col("rank") <= max(most.values())).where(F.col("rank") <= limit).drop("rank")
-    rows = got.toPandas()
-    return {name: rows[rows["view"] == name] for name in VIEWS}
+    # the best of parts, then of what is left: a few times as many rows as are wanted, whatever the number of documents
+    rank = F.row_number().over(Window.partitionBy("view", "y", F.pmod("tie", F.lit(16))).orderBy(F.desc("sure"), "tie", "doc_id"))
+    got = materialize(got.withColumn("rank", rank).where(F.col("rank") <= max(most.values())).where(F.col("rank") <= limit).drop("rank"), "surest")
+    best = lambda name, y: got.where((F.col("view") == name) & (F.col("y") == y)).orderBy(F.desc("sure"), "tie", "doc_id").limit(most[y]).toPandas()
+    return {name: pd.concat([best(name, y) for y in most]) for name in VIEWS}
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, accepted: Column | None = None, rounds: int = ROUNDS, taught: int = TAUGHT, confident: float = CONFIDENT) -> tuple[Scorer, DataFrame]:
