@@ -1,6 +1,6 @@
 """Licence detection by Dice coefficients over word bigrams (operator 10), in DataFrame functions alone.
 
-Units are the lines of a text, the whole of a short text, and windows of words
+Units are the lines of a text, the whole of it, and windows of words
 that may cross line ends. A unit is normalised
 (lower case, everything but letters and digits to single spaces), cut into
 words, and its distinct neighbouring word pairs are compared with each
@@ -26,8 +26,35 @@ from .common import table, text_column
 
 THRESHOLD = 0.8
 
-#: Public licence notices.
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+#: Public licence notices and whole licence texts.
 TEMPLATES = [
+    ("BSD-2-Clause", _BSD_CONDITIONS + _BSD_DISCLAIMER),
+    ("BSD-3-Clause", _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES '
+        "OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, '
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, '
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
@@ -64,10 +91,11 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[
     n_matches counts the units whose best template reaches the threshold, and
     licenses names those templates; best_dice is the greatest coefficient
     among them, rounded to six places, 0 if there is none. The units are the
-    lines, a text of several lines as a whole if it has no more words than the
-    largest notice, and windows: of windows that overlap the best, and none
+    lines, a text of several lines as a whole, and windows: of windows that overlap the best, and none
     that overlaps a matching line or whole of the same name or of no smaller
-    coefficient. Null and empty texts match nothing; rows repeat as they come.
+    coefficient. Null and empty texts match nothing; rows repeat as they
+    come, null ids stay, no rows give none; texts are searched whole, however
+    long; other columns of docs are ignored.
     """
     kinds = [(name, pairs_of(text)) for name, text in templates or TEMPLATES]
     bounds = [size_bounds(len(p), threshold) for _, p in kinds]
@@ -107,7 +135,7 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[
     before = lambda i: F.aggregate(F.slice("lines", F.lit(1), i), F.lit(1), lambda n, ws: n + F.size(ws))
     by_line = reached(F.transform("lines", lambda ws, i: F.when(F.size(ws) > low, unit(ws, i))))
     placed = F.transform("by_line", lambda h: let(before(h["a"]), lambda n: h.withField("a", n).withField("b", h["b"] - h["a"] + n)))
-    whole = F.when((F.size(F.split("plain", "\n", -1)) > 1) & F.size("words").between(low + 1, high + 1), reached(F.array(unit(F.col("words"), F.lit(1))))).otherwise(none)
+    whole = F.when((F.size(F.split("plain", "\n", -1)) > 1) & (F.size("words") > low), reached(F.array(unit(F.col("words"), F.lit(1))))).otherwise(none)
 
     # windows
     begun = 4 * (high + 1)
@@ -125,7 +153,7 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[
         return let(F.slice(F.col("pairs"), i, F.lit(begun)), lambda s: cut(s, further))
 
     def window(i: Column, d: Column) -> Column:
-        """The best window from the pair at i; b is as yet the number of its distinct pairs."""
+        """The best window from the pair at i (ties: the longest); b is as yet the number of its distinct pairs."""
         made = []
         for (name, known), (a, b) in zip(kinds, bounds):
             own = F.array(*[F.lit(x) for x in known])
@@ -137,9 +165,9 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[
                 return let(more, lambda t: F.when(dice(t) < t["minus"], F.struct(t["n"].alias("n"), t["m"].alias("m"), dice(t).alias("minus"), t["n"].alias("b"))).otherwise(t))
 
             at = lambda ps: F.aggregate(ps, start, step)
-            scored = let(at(F.slice(d, F.lit(1), F.lit(b))), lambda s: F.struct(s["minus"].alias("minus"), F.lit(name).alias("name"), i.alias("a"), s["b"].alias("b")))
+            scored = let(at(F.slice(d, F.lit(1), F.lit(b))), lambda s: F.struct(s["minus"].alias("minus"), (-s["b"]).alias("longest"), F.lit(name).alias("name"), i.alias("a"), s["b"].alias("b")))
             made.append(F.when(F.array_contains(own, d[0]) & (shared(F.slice(d, F.lit(1), F.lit(b)), known) >= a), scored))
-        return F.array_min(F.array(*made))
+        return let(F.array_min(F.array(*made)), lambda h: F.when(h.isNotNull(), F.struct(h["minus"].alias("minus"), h["name"].alias("name"), h["a"].alias("a"), h["b"].alias("b"))))
 
     starts = F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains("own", p), i + 1)), lambda i: i.isNotNull())
     found = reached(F.transform(starts, lambda i: let(followers(i), lambda d: let(window(i, d), lambda h: h.withField("b", i + F.array_position(F.slice(F.col("pairs"), i, F.size("pairs")), d[h["b"] - 1]).cast("int") - 1)))))
@@ -172,10 +200,12 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_matches, licenses, best_dice of each row of documents; nulls, ties, long texts, repeated rows and empty tables as license_scan() has them."""
     return license_scan(table(spark, sf_dir, "documents"))
 
 
 def _sql() -> str:
+    """The same result from lines and wholes; windows, which SQL hardly can express, are tested against brute force."""
     rows = []
     for i, (name, text) in enumerate(TEMPLATES):
         p = pairs_of(text)
@@ -190,7 +220,7 @@ units as (
 worded as (select r, list_filter(string_split(replace(unit, chr(10), ' '), ' '), lambda x: x <> '') as ws from units),
 paired as (
   select row_number() over () as u, r, list_distinct(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) as p
-  from worded where len(ws) between 2 and {max(size_bounds(len(pairs_of(t)), THRESHOLD)[1] for _, t in TEMPLATES) + 1}),
+  from worded where len(ws) >= 2),
 compared as (
   select u, r, name, 2.0 * len(list_intersect(p, known)) / (len(p) + len(known)) as dice from paired join templates on len(p) between low and high),
 ranked as (select *, row_number() over (partition by u order by dice desc, name) as k from compared),
