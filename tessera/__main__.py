@@ -5,9 +5,22 @@ from __future__ import annotations
 import sys
 
 from pyspark.errors import PySparkException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from .sources import Database
+from .sources import Database, display_sizes, result_rows
+
+
+def show(df: DataFrame) -> int:
+    """Print all rows, fetched partition by partition, and how many there are."""
+    widths = [max(w, 1 + len(n)) for n, w in display_sizes(df).items()]
+    line = lambda values: " ".join(str(v).rjust(w) for v, w in zip(values, widths))
+    print(line(df.columns), line("-" * w for w in widths), sep="\n")
+    n = 0
+    for row in result_rows(df):
+        print(line(row))
+        n += 1
+    print(f"{n} row{'' if n == 1 else 's'}")
+    return n
 
 
 def main(folder: str) -> None:
@@ -20,9 +33,9 @@ def main(folder: str) -> None:
             break
         if line:
             try:
-                tx.query(line).show(truncate=False)
+                show(tx.query(line))
             except (PySparkException, ValueError) as e:
-                print(f"{line}: {e}")
+                print(f"SQL Exception: {line}: {e}")
     spark.stop()
 
 

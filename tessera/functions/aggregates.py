@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def count_of(field: str) -> Column:
-    """Rows of the group as int, nulls included; named countof_<field>."""
-    return F.count(F.lit(1)).cast("int").alias(f"countof_{field}")
+    """Rows of the group as a long, nulls included; named countof_<field>."""
+    return F.count(F.lit(1)).alias(f"countof_{field}")
 
 
 def max_of(field: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Field, Predicate, equals
+from ..shared import shared_folder
 
 
 def _needed(right: DataFrame, left: DataFrame) -> DataFrame:
@@ -63,8 +64,8 @@ def merge_join(left: DataFrame, right: DataFrame, left_field: str, right_field:
 
 
 def index_join(left: DataFrame, right: DataFrame, left_field: str, right_field: str) -> DataFrame:
-    """Inner join that probes a hash table of the right side's partitions."""
-    return _joined(left, right, equals(Field(left_field), Field(right_field)), "shuffle_hash")
+    """Inner join of left_field = right_field against an indexed table; Spark probes a hash table of it where its measured size allows, and merges otherwise."""
+    return _joined(left, right, equals(Field(left_field), Field(right_field)), None)
 
 
 def index_select(df: DataFrame, field: str, value: str | int | float | bool) -> DataFrame:
@@ -103,7 +104,8 @@ def group_by(df: DataFrame, fields: list[str], aggregates: list[Column]) -> Data
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and keep in a form that outlives lost executors: checkpoint() where a folder is set, else persisted on disk and in memory."""
+    """Compute once and keep in a checkpoint, which outlives lost executors; on one machine without a folder for them, in a temporary one."""
     sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
-
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

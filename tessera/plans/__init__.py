@@ -1,5 +1,5 @@
-"""Table statistics and the estimates that follow from them."""
+"""Table statistics; planning is left to Spark."""
 
-from .estimates import Estimate, table_statistics
+from .statistics import table_statistics
 
-__all__ = ["Estimate", "table_statistics"]
+__all__ = ["table_statistics"]

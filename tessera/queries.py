@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -14,12 +13,12 @@ from pyspark.sql import functions as F
 from .functions import Field, Predicate, all_of, count_of, equals, is_in, max_of
 from .operators import block_product, equi_join, group_by, index_join, index_select, join_all, materialize, merge_join, product, project, select, sort_by
 from .plans import table_statistics
-from .sources import Database, Transaction, Type, read_table
+from .sources import Conflict, Database, Transaction, Type, read_table
+from .shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-_SCRATCH: list[tempfile.TemporaryDirectory] = []
 
 
 def query(sql: str) -> Callable[[Query], Query]:
@@ -39,12 +38,8 @@ def _t(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 def scratch(spark: SparkSession) -> Database:
-    """A new database in the folder that all executors share; in a temporary one only where none is named, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        _SCRATCH.append(tempfile.TemporaryDirectory(prefix="tessera-db-"))
-        shared = f"file://{_SCRATCH[-1].name}"
-    return Database(spark, f"{shared.rstrip('/')}/db-{uuid.uuid4().hex}")
+    """A new database in the folder that all executors share."""
+    return Database(spark, f"{shared_folder(spark)}/db-{uuid.uuid4().hex}")
 
 
 def _imported(spark: SparkSession, sf_dir: str, *names: str) -> Transaction:
@@ -189,7 +184,7 @@ def materialize_region(spark, d):
     return materialize(*_t(spark, d, "region"))
 
 
-@query("select c_nationkey, cast(count(*) as int) as countof_c_custkey from customer group by c_nationkey")
+@query("select c_nationkey, count(*) as countof_c_custkey from customer group by c_nationkey")
 def group_count(spark, d):
     return group_by(*_t(spark, d, "customer"), ["c_nationkey"], [count_of("c_custkey")])
 
@@ -204,17 +199,17 @@ def group_max_string(spark, d):
     return group_by(*_t(spark, d, "customer"), ["c_nationkey"], [max_of("c_name")])
 
 
-@query("select l_returnflag, l_linestatus, cast(count(*) as int) as countof_l_orderkey, max(l_quantity) as maxof_l_quantity from lineitem group by l_returnflag, l_linestatus")
+@query("select l_returnflag, l_linestatus, count(*) as countof_l_orderkey, max(l_quantity) as maxof_l_quantity from lineitem group by l_returnflag, l_linestatus")
 def group_multi(spark, d):
     return group_by(*_t(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], [count_of("l_orderkey"), max_of("l_quantity")])
 
 
-@query("select max(p_size) as maxof_p_size, cast(count(*) as int) as countof_p_size from part")
+@query("select max(p_size) as maxof_p_size, count(*) as countof_p_size from part")
 def group_global_max(spark, d):
     return group_by(*_t(spark, d, "part"), [], [max_of("p_size"), count_of("p_size")])
 
 
-@query("select cast(count(*) as int) as num_recs, cast(1 + floor(count(*) / 3) as int) as distinct_est from lineitem")
+@query("select count(*) as num_recs, cast(1 + floor(count(*) / 3) as bigint) as distinct_est from lineitem")
 def stats_table(spark, d):
     return table_statistics(*_t(spark, d, "lineitem"))
 
@@ -324,3 +319,81 @@ def catalog_fields(spark, d):
     tx = scratch(spark).begin()
     tx.create_table("students", {"sid": Type("int"), "sname": Type("varchar", 9), "active": Type("boolean")})
     return select(tx.table("fldcat"), equals(Field("tblname"), "students"))
+
+
+@query("select * from (values ('busy', 'select c_name from customer where c_nationkey = 3 and c_mktsegment = ''BUILDING''')) t(viewname, viewdef)")
+def catalog_views(spark, d):
+    tx = _imported(spark, d, "customer")
+    tx.create_typed_view("busy", ["c_name"], ["customer"], all_of(equals(Field("c_nationkey"), 3), equals(Field("c_mktsegment"), "BUILDING")))
+    return tx.table("viewcat")
+
+
+@query("select * from (values ('segment_idx', 'customer', 'c_mktsegment'), ('nation_idx', 'customer', 'c_nationkey')) t(indexname, tablename, fieldname)")
+def catalog_indexes(spark, d):
+    tx = _imported(spark, d, "customer")
+    tx.create_index("segment_idx", "customer", "c_mktsegment")
+    tx.create_index("nation_idx", "customer", "c_nationkey")
+    return tx.table("idxcat")
+
+
+@query("select c_name, n_name from customer, nation where c_nationkey = n_nationkey and c_mktsegment = 'BUILDING'")
+def view_typed(spark, d):
+    """In a typed view as in predicates, a number never equals a string."""
+    tx = _imported(spark, d, "customer", "nation")
+    where = all_of(equals(Field("c_nationkey"), Field("n_nationkey")), is_in(Field("c_mktsegment"), ["BUILDING", 7]))
+    tx.create_typed_view("v", ["c_name", "n_name"], ["customer", "nation"], where)
+    return tx.table("v")
+
+
+@query("select n_nationkey, n_name from nation where n_regionkey = '0' and 1 = 0")
+def view_typed_mismatch(spark, d):
+    tx = _imported(spark, d, "nation")
+    tx.create_typed_view("v", ["n_nationkey", "n_name"], ["nation"], equals(Field("n_regionkey"), "0"))
+    return tx.table("v")
+
+
+def _indexed(spark, d) -> Transaction:
+    tx = _imported(spark, d, "nation")
+    tx.create_index("region_idx", "nation", "n_regionkey")
+    tx.commit()
+    return tx
+
+
+@query("select n_name from nation where n_regionkey = 1 union all select 'ATLANTIS'")
+def index_after_insert(spark, d):
+    tx = _indexed(spark, d)
+    tx.insert("nation", {"n_nationkey": 99, "n_name": "ATLANTIS", "n_regionkey": 1})
+    tx.commit()
+    return project(index_select(tx.table("nation"), "n_regionkey", 1), ["n_name"])
+
+
+@query("select n_name from nation where n_regionkey = 1 and n_nationkey <> 2")
+def index_after_delete(spark, d):
+    tx = _indexed(spark, d)
+    tx.delete("nation", equals(Field("n_nationkey"), 2))
+    tx.commit()
+    return project(index_select(tx.table("nation"), "n_regionkey", 1), ["n_name"])
+
+
+@query("select n_name from nation where n_regionkey in (1, 2)")
+def index_after_update(spark, d):
+    tx = _indexed(spark, d)
+    tx.update("nation", "n_regionkey", 1, equals(Field("n_regionkey"), 2))
+    tx.commit()
+    return project(index_select(tx.table("nation"), "n_regionkey", 1), ["n_name"])
+
+
+@query("select r_regionkey, r_name from region where r_regionkey <> 0")
+def tx_conflict(spark, d):
+    """Of two transactions that change a table from the same snapshot the first one holds."""
+    tx = _imported(spark, d, "region")
+    tx.commit()
+    first, second = tx.database.begin(), tx.database.begin()
+    first.delete("region", equals(Field("r_regionkey"), 0))
+    second.delete("region", equals(Field("r_regionkey"), 1))
+    first.commit()
+    try:
+        second.commit()
+    except Conflict:
+        return tx.database.begin().table("region")
+    raise RuntimeError("the second transaction should have failed")

@@ -141,3 +141,43 @@ def test_folders_that_no_manifest_names_are_never_read(db, spark):
     assert db.begin().table("students").count() == 5
     tx.delete("students")
     assert db.begin().table("students").count() == 5  # not committed
+
+
+def test_typed_views(db):
+    tx = filled(db)
+    tx.create_typed_view("v", ["sname", "dname"], ["students", "depts"], equals(Field("majorid"), Field("did")))
+    tx.create_typed_view("w", ["sname"], ["v"], is_in(Field("dname"), ["math", 20]))
+    tx.create_typed_view("none", ["sid"], ["students"], equals(Field("majorid"), "10"))
+    tx.commit()
+    tx = db.begin()
+    assert rows(tx.table("w")) == [("amy",), ("sue",)] and rows(tx.table("none")) == []
+    assert ("v", "select sname, dname from students, depts where majorid = did") in rows(tx.table("viewcat"))
+    assert ("w", "select sname from v where dname in ('math', 20)") in rows(tx.table("viewcat"))
+
+
+def test_names_made_meanwhile(db):
+    filled(db)
+    a, b = db.begin(), db.begin()
+    a.create_view("v", "select sid from students")
+    b.create_view("v", "select did from depts")
+    a.commit()
+    with pytest.raises(Conflict, match="v was made"):
+        b.commit()
+
+
+def test_one_writer_of_a_version(db):
+    filled(db)
+    state = db.state()
+    state.version += 1
+    db.publish(state)
+    with pytest.raises(Conflict):
+        db.publish(state)
+    assert db.state().version == state.version
+
+
+def test_shell_prints_all_rows(spark, capsys):
+    from tessera.__main__ import show
+
+    assert show(spark.range(50).toDF("x")) == 50
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) == 53 and out[-1] == "50 rows" and out[2].strip() == "0"
