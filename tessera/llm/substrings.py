@@ -130,8 +130,10 @@ def longest_previous_factor(suffixes: np.ndarray, length: np.ndarray, document:
     """
     n, width = suffixes.shape
     inside = np.arange(width) < length[:, None]
-    padded = np.where(inside, suffixes, 0)
-    order = np.lexsort((length, np.ascontiguousarray(padded).view(f"S{width}").reshape(-1)))
+    padded = np.ascontiguousarray(np.where(inside, suffixes, 0))
+    keys = padded.view(f"S{width}").reshape(-1)
+    # padding looks like a zero byte; only where there are such bytes must shorter ones come first
+    order = np.lexsort((length, keys)) if (padded[inside] == 0).any() else np.argsort(keys)
     text, doc, size = suffixes[order], document[order], length[order]
     common = np.zeros(n, np.int64)
     differs = text[1:] != text[:-1]
