@@ -101,7 +101,7 @@ def _description(sample: np.ndarray, pivots: np.ndarray, threshold: float, lengt
 LIST = ["label", "d", "pivot", "i", "j"]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, length: int = 12, block: int = 512, pivots: int | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, length: int = 12, block: int = 128, pivots: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row with a vec_id.
 
     Vectors of different lengths link with nothing of each other; each

@@ -29,7 +29,7 @@ def usable(rows):
     return [(a, np.array(x), label) for a, x, label in rows if a < 4000]
 
 
-@pytest.mark.parametrize("block", [512, 64])
+@pytest.mark.parametrize("block", [128, 64])
 def test_near_duplicates(spark, vectors, block):
     got = {r.vec_id: r for r in near_duplicates(frame(spark, vectors + vectors[:1]), block=block).collect()}
     good = [x for x in usable(vectors) if x[2] is not None]
