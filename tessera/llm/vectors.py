@@ -429,3 +429,16 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every vec_id divisible by 20; nulls, ties, repeated ids and few candidates as nearest() has them."""
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+ORACLE_VECTOR_DEDUP = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, r) as (select vec_id, vec_id from embeddings union select reach.vec_id, links.b from reach join links on reach.r = links.a),
+counted as (select a as vec_id, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, c as component_id, vec_id = c as kept
+from (select vec_id, min(r) as c from reach group by vec_id) left join counted using (vec_id)"""

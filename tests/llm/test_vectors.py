@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.llm.vectors import adaptive_scan, near_duplicates, nearest
+from tessera.llm.vectors import ORACLE_VECTOR_DEDUP, adaptive_scan, near_duplicates, nearest
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,16 @@ def test_near_duplicates(spark, vectors, block):
     assert set(got) == {a for a, _, _ in vectors}
 
 
+def test_same_as_sql(spark, vectors):
+    import duckdb
+
+    rows = [x for x in vectors if 1000 <= x[0] < 1020 or x[0] < 20 or 2000 <= x[0] < 2010 or x[0] >= 3000]
+    c = duckdb.connect()
+    c.sql("create table embeddings (vec_id bigint, embedding float[], label int)")
+    c.executemany("insert into embeddings values (?, ?, ?)", rows)
+    assert sorted(map(tuple, near_duplicates(frame(spark, rows)).collect())) == sorted(c.sql(ORACLE_VECTOR_DEDUP).fetchall())
+
+
 def test_group_of_a_third_of_the_rows(spark):
     r = np.random.default_rng(3)
     n, d = 18_000, 64
