@@ -405,10 +405,12 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
 
     texts = dealt.groupBy("block")
     keys = texts.cogroup(copies.groupBy("block")).applyInPandas(send_keys, SIDE)
-    shared = keys.groupBy("bucket").applyInPandas(answer_keys, SIDE)
+    # as many partitions as buckets, so that a task's share stays that of a few buckets at any size
+    by_bucket = lambda rows: rows.repartition(blocks, "bucket").groupBy("bucket")
+    shared = by_bucket(keys).applyInPandas(answer_keys, SIDE)
     shared = materialize(shared, "shared-keys")
     runs = texts.cogroup(shared.unionByName(copies).groupBy("block")).applyInPandas(send_runs, SIDE)
-    answers = materialize(runs.groupBy("bucket").applyInPandas(answer_runs, SIDE), "repeats")
+    answers = materialize(by_bucket(runs).applyInPandas(answer_runs, SIDE), "repeats")
     return whole.groupBy("block").cogroup(answers.unionByName(copies).groupBy("block")).applyInPandas(cut, fields).toDF("doc_id", *made.names, *carry)
 
 
