@@ -45,6 +45,8 @@ BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 48
 HOT_DOCUMENTS = 4096
 #: Windows per run at most: answers are bit masks of 64.
 RUN = 64
+#: Suffixes that are sorted at once; those of one key stay together.
+SUFFIXES = 50_000
 _NULL_ID = np.iinfo(np.int64).max
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)  # fixed multipliers of a 64-bit mixer
 #: Types of the columns that go before the bytes of runs: key, doc_id, row, first window, number of windows.
@@ -133,7 +135,7 @@ def longest_previous_factor(suffixes: np.ndarray, length: np.ndarray, document:
     padded = np.ascontiguousarray(np.where(inside, suffixes, 0))
     keys = padded.view(f"S{width}").reshape(-1)
     # padding looks like a zero byte; only where there are such bytes must shorter ones come first
-    order = np.lexsort((length, keys)) if (padded[inside] == 0).any() else np.argsort(keys)
+    order = np.lexsort((length, keys)) if ((padded == 0) & inside).any() else np.argsort(keys)
     text, doc, size = suffixes[order], document[order], length[order]
     common = np.zeros(n, np.int64)
     differs = text[1:] != text[:-1]
@@ -313,7 +315,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
         width = sum(np.dtype(t).itemsize for t in HEAD)
         counts = [len(x) // width for x in rows["a"]]
         owner = np.repeat(rows["block"].to_numpy(), counts)
-        raw = b"".join(rows["b"])
+        raw = b"".join([*rows["b"], bytes(RUN + window)])  # so that the last suffixes can be read at full width
         columns, at = [], [0] * len(counts)
         for t in HEAD:
             columns.append(np.concatenate([np.frombuffer(x, t, n, i) for x, n, i in zip(rows["a"], counts, at)]))
@@ -334,9 +336,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
             n = length[reps]
             start, left = ragged(begin[reps], n), ragged(np.zeros(len(reps), np.int64), n)
             left = np.repeat(size[reps], n) - left
-            width = int(left.max())
-            flat = np.frombuffer(raw, np.uint8)
-            rows = flat[np.minimum(start[:, None] + np.arange(width), len(flat) - 1)]
+            rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), int(left.max()))[start]
             gone = longest_previous_factor(rows, left, np.repeat(doc[reps], n)) >= window
             mask_rows.append(reps)
             mask_bits.append(np.split(gone, np.cumsum(n)[:-1]))
@@ -361,7 +361,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
             if len(reps) > 1:
                 pending.append(np.array(reps))
                 held += int(length[reps].sum())
-                if held > 200_000:
+                if held > SUFFIXES:
                     resolve()
                     pending, held = [], 0
         if pending:
@@ -405,8 +405,8 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
 
     texts = dealt.groupBy("block")
     keys = texts.cogroup(copies.groupBy("block")).applyInPandas(send_keys, SIDE)
-    # as many partitions as buckets, so that a task's share stays that of a few buckets at any size
-    by_bucket = lambda rows: rows.repartition(blocks, "bucket").groupBy("bucket")
+    # a partition for each bucket: none holds two of them, at any size
+    by_bucket = lambda rows: rows.repartitionById(blocks, F.col("bucket")).groupBy("bucket")
     shared = by_bucket(keys).applyInPandas(answer_keys, SIDE)
     shared = materialize(shared, "shared-keys")
     runs = texts.cogroup(shared.unionByName(copies).groupBy("block")).applyInPandas(send_runs, SIDE)
